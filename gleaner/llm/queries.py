@@ -21,8 +21,34 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.pii import private_data
+
+    return private_data(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.decontam import leak_measures
+
+    return leak_measures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.sentences import remove_repeated_spans
+
+    return remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gleaner.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_minhash_near_dedup, op5_suffix_array_dedup]
+    found = [op4_minhash_near_dedup, op5_suffix_array_dedup, op7_pii, op8_benchmark_decontamination, op9_substring_dedup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
