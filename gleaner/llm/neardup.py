@@ -5,10 +5,11 @@ places, and coordinate k is the least rank among pi shifted circularly by k (C-M
 The ranks that a shingle adds to all coordinates are then one contiguous stretch of pi, read once.
 
 Documents with equal shingle sets are one class before anything is compared. Candidates are classes that share a band.
-Within a bucket each member is first compared with the least member alone; most buckets are then one component. In
-the others, members outside the bucket's largest component are screened, in blocks of bounded size, against the
-members of other components by a sketch of the signature, and what passes is verified on the full sets. So no bucket
-is ever expanded into all its pairs, and no pair that could still join two components is left out.
+Within a bucket each member is first compared with the least member alone; most buckets are then one component. The
+others' members form groups that are connected by shared buckets. In each group the members outside its largest
+component are compared, in blocks of bounded size, with the members of other components: a sketch of the signature
+screens, the full sets decide, and a block returns only links that join two components it had not joined yet. So no
+bucket is ever expanded into pairs of rows, and no pair that could still join two components is left out.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from gleaner.llm._text import SPACE_WORDS, U64, Words, mix, signed, slices
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 UNIVERSE = 1 << 20
-#: Members, and members outside the largest component, that one task of the screen compares.
+#: Members, and members outside the largest component, that are compared at once.
 BLOCK = 256
 #: The screen passes estimates down to this much under the threshold: five standard errors of 160 coordinates.
 SLACK = 0.15
@@ -106,55 +107,75 @@ def _verify(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                100 * (inter := np.intersect1d(x, y, assume_unique=True).size) >= percent * (x.size + y.size - inter) and x.size > 0
-                for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True)
-            ]
+            keep = [_meets(x, y, percent) for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _screen(percent: int):
-    """Over rows sorted by block: pairs of an outsider and a member of another component that the sketches let pass."""
+def _meets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets meet the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return False
+    i = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    inter = int((b[i] == a).sum())
+    return 100 * inter >= percent * (len(a) + len(b) - inter)
+
+
+def _joining(percent: int):
+    """Over rows sorted by block: links between members of different components, as many as join them."""
     least = percent / 100 - SLACK
     width = BANDS * ROWS
 
-    def pairs(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, outer: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    def block(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+        ids, comp, size, outer = (rows.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6))
+        sketch = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(-1, width)
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        sets: list[np.ndarray] | None = None
         found = []
+        inner = np.flatnonzero(~outer)
         for i in np.flatnonzero(outer):
-            near = ~outer & (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            j = np.flatnonzero(near)
-            if len(j):
-                same = (sketch[j] == sketch[i]).sum(axis=1) / width
-                j = j[(same - 1 / 256) / (1 - 1 / 256) >= least]
-                found.extend((min(ids[i], ids[x]), max(ids[i], ids[x])) for x in j)
-        return np.array(found, np.int64).reshape(-1, 2)
+            near = inner[(comp[inner] != comp[i]) & (100 * np.minimum(size[inner], size[i]) >= percent * np.maximum(size[inner], size[i]))]
+            if not len(near):
+                continue
+            same = (sketch[near] == sketch[i]).sum(axis=1) / width
+            for j in near[(same - 1 / 256) / (1 - 1 / 256) >= least]:
+                x, y = root(comp[i]), root(comp[j])
+                if x == y:
+                    continue
+                if sets is None:
+                    sets = list(shingle_sets(rows.column(8)))
+                if _meets(sets[i], sets[j], percent):
+                    up[max(x, y)] = min(x, y)
+                    found.append((ids[i], ids[j]))
+        return found
+
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        got = np.array([x for r in rows for x in block(r)], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
         for batch in batches:
             if held is not None:
-                batch = pa.concat_batches([held, batch]) if held.num_rows else batch
+                batch = pa.concat_batches([held, batch])
             if not batch.num_rows:
                 continue
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
-            new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
-            cut = np.flatnonzero(new)
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+            cut = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
             held = batch.slice(cut[-1])
-            yield from blocks(batch.slice(0, cut[-1]), cut)
-        if held is not None and held.num_rows:
-            yield from blocks(held, np.zeros(1, np.int64))
-
-    def blocks(batch: pa.RecordBatch, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not batch.num_rows:
-            return
-        ids, comp, size, outer = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6, 7))
-        sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, width)
-        ends = np.concatenate((cut[cut < batch.num_rows][1:], [batch.num_rows]))
-        found = [pairs(ids[a:b], comp[a:b], size[a:b], outer[a:b], sketch[a:b]) for a, b in zip(cut[: len(ends)], ends, strict=True)]
-        got = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+            if len(cut) > 1:
+                yield links([batch.slice(x, y - x) for x, y in zip(cut[:-1], cut[1:], strict=True)])
+        if held is not None:
+            yield links([held])
 
     return run
 
@@ -178,27 +199,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1")
     members = written(banded.join(buckets, ["band", "key"]).select("band", "key", "leader", "rep"), "neardup-members")
-    tried = written(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "neardup-pairs")
-    links = verified(tried, docs, percent)
+    # texts of all that share a bucket, moved once; a plan that does not turn into another one as the corpus grows
+    texts = written(docs.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "neardup-texts")
+    tried = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    links = verified(tried, texts, percent)
     label = components(links)
 
     # what leaders alone have not settled
-    placed = written(members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("comp")), "neardup-placed")
-    counts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
+    placed = written(members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "leader", "rep", F.coalesce("component", "rep").alias("comp")), "neardup-placed")
+    open_buckets = placed.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
+    open_ = written(placed.join(open_buckets, ["band", "key"], "left_semi").select("leader", "rep", "comp").distinct(), "neardup-open")
+    groups = components(open_.select(F.col("leader").alias("a"), F.col("rep").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("group"))
+    grouped = open_.select("rep", "comp").distinct().join(groups, "rep")
+    counts = grouped.groupBy("group", "comp").agg(F.count("*").alias("n"))
     split = (
-        counts.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("m")).where("comps > 1")
-        .select("band", "key", F.col("top.comp").alias("main"), F.ceil((F.col("m") - F.col("top.n")) / block).cast("int").alias("outers"), F.ceil(F.col("m") / block).cast("int").alias("inners"))
-    )
-    open_ = placed.join(split, ["band", "key"])
+        counts.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"))
+        .select("group", F.col("top.comp").alias("main"), F.ceil((F.col("m") - F.col("top.n")) / block).cast("int").alias("outers"), F.ceil(F.col("m") / block).cast("int").alias("inners"))
+    )
+    rows = grouped.join(split, "group").join(classes.select("rep", "n_shingles", "sketch"), "rep").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    inside = open_.select("band", "key", own("inners").alias("inner_block"), spread("outers").alias("outer_block"), "rep", "comp", F.lit(False).alias("is_outer"))
-    outside = open_.where("comp <> main").select("band", "key", spread("inners").alias("inner_block"), own("outers").alias("outer_block"), "rep", "comp", F.lit(True).alias("is_outer"))
-    rows = inside.unionByName(outside).join(classes.select("rep", "n_shingles", "sketch"), "rep")
-    rows = rows.select("band", "key", "inner_block", "outer_block", "rep", "comp", "n_shingles", "is_outer", "sketch")
-    keys = ["band", "key", "inner_block", "outer_block"]
-    passed = rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_screen(percent), "a long, b long").distinct()
-    more = verified(written(passed.join(tried, ["a", "b"], "left_anti"), "neardup-pairs"), docs, percent)
+    rest = ["rep", "comp", "n_shingles"]
+    inside = rows.select("group", own("inners").alias("inner_block"), spread("outers").alias("outer_block"), *rest, F.lit(False).alias("is_outer"), "sketch", "text")
+    outside = rows.where("comp <> main").select("group", spread("inners").alias("inner_block"), own("outers").alias("outer_block"), *rest, F.lit(True).alias("is_outer"), "sketch", "text")
+    keys = ["group", "inner_block", "outer_block"]
+    more = written(inside.unionByName(outside).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_joining(percent), "a long, b long"), "neardup-links")
 
     of = label.withColumnRenamed("id", "node")
 
@@ -212,9 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of (a, b) whose full sets meet the threshold; only texts that stand in a pair are joined."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi"), "neardup-texts")
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of (a, b) whose full sets meet the threshold."""
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return written(rows.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "neardup-links")
