@@ -3,8 +3,8 @@
 A classifier trained on the labelled table gives every document posteriors over domains. Document rates (expected
 repeats, not negative) are fitted so that the expected tokens of each domain, sum of rate x tokens x posterior, meet
 the target weights of the corpus total, by projected-gradient least squares from rates of one. Each step needs one
-distributed sum per domain; a document's rate is a fold over the steps' residuals, of which there are at most
-steps x domains, so no per-document state is kept between steps and a lost executor costs a task.
+distributed sum per domain. Rates so far are written every few steps, so a step computes only what is new since then;
+the residuals, of which there are at most steps x domains, give any document's rate again as a fold.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from gleaner.llm._io import written
 DOMAINS = ("low", "clean", "toxic")
 TARGETS = {"low": 0.01, "clean": 0.98, "toxic": 0.01}
 STEPS, TOLERANCE = 60, 1e-5
+#: Steps after which rates are written.
+BLOCK = 6
 
 
 def domain_label() -> Column:
@@ -36,22 +38,35 @@ def _rate(steps: list[list[float]], domains: int) -> Column:
     return F.expr(f"aggregate(array({rows}), 1D, (r, g) -> greatest(0D, r - ({dot})))")
 
 
+def _newer(steps: list[list[float]]) -> Column:
+    """As _rate(), from the written rate `r` and posteriors p0, p1, ... on: plain arithmetic, compiled with its scan."""
+    rate = F.col("r")
+    for step in steps:
+        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * F.lit(x) for i, x in enumerate(step[1:], 1)), F.col("p0") * F.lit(step[0])))
+    return rate
+
+
 def fit_rates(scores: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """scores: n_tokens, p. The residuals whose fold is each document's rate."""
     k = len(targets)
-    sums = lambda rate: [F.sum(rate * F.col("n_tokens") * F.col("p")[i]).alias(f"x{i}") for i in range(k)]
-    first = scores.agg(F.sum("n_tokens").cast("double").alias("t"), *sums(F.lit(1.0))).first()
+    names = [f"p{i}" for i in range(k)]
+    sums = lambda rate: [F.sum(rate * F.col("n_tokens") * F.col(c)).alias(c) for c in names]
+    state = written(scores.select("n_tokens", *[F.col("p")[i].alias(c) for i, c in enumerate(names)], F.lit(1.0).alias("r")), "mixing-rates")
+    first = state.agg(F.sum("n_tokens").cast("double").alias("t"), *sums(F.lit(1.0))).first()
     if not first.t:
         return []
-    mass = [max(first[f"x{i}"] / first.t, 1e-9) for i in range(k)]
-    now, history = [first[f"x{i}"] / first.t for i in range(k)], []
+    mass = [max(first[c] / first.t, 1e-9) for c in names]
+    now, history, recent = [first[c] / first.t for c in names], [], []
     for _ in range(steps):
         if max(abs(x - t) for x, t in zip(now, targets, strict=True)) <= tolerance:
             break
         # residuals relative to a domain's mass: the operator's norm is then at most one and a full step is safe
         history.append([(x - t) / m for x, t, m in zip(now, targets, mass, strict=True)])
-        r = scores.agg(*sums(_rate(history, k))).first()
-        now = [r[f"x{i}"] / first.t for i in range(k)]
+        recent.append(history[-1])
+        if len(recent) == BLOCK:
+            state, recent = written(state.withColumn("r", _newer(recent)), "mixing-rates"), []
+        r = state.agg(*sums(_newer(recent))).first()
+        now = [r[c] / first.t for c in names]
     return history
 
 
