@@ -163,15 +163,15 @@ def assembled(answers: DataFrame, scenarios: DataFrame) -> DataFrame:
     answers: pid, scenario_idx, concept_pos, concept, content (JSON text); scenarios: pid, scenario_idx, scenario,
     description. A paper's answers are gathered in its own row, as its result document is.
     """
-    entry = F.struct("concept_pos", F.create_map("concept", "content").alias("m"))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["m"])
+    entry = F.struct("concept_pos", "concept", "content")
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: F.create_map(x["concept"], x["content"]))
     once = answers.where("scenario_idx is null").groupBy("pid").agg(ordered(entry).alias("shared"))
     own = answers.where("scenario_idx is not null").groupBy("pid", "scenario_idx").agg(ordered(entry).alias("own"))
     head = F.array(F.create_map(F.lit("Scenario"), F.to_json(F.struct(F.col("scenario").alias("Scenario Name"), F.col("description").alias("scenario_description")))))
     none = F.array().cast("array<map<string, string>>")
     rows = scenarios.join(own, ["pid", "scenario_idx"], "left").join(once, "pid", "left")
     one = rows.select("pid", "scenario_idx", F.struct(F.concat(F.coalesce("shared", none), head, F.coalesce("own", none)).alias("concepts")).alias("r"))
-    return one.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("scenario_idx", F.col("r.concepts").alias("concepts")))), lambda x: F.struct(x["concepts"].alias("concepts"))).alias("results"))
+    return one.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("scenario_idx", F.col("r.concepts").alias("concepts"))), lambda x, y: x["scenario_idx"] - y["scenario_idx"]), lambda x: F.struct(x["concepts"].alias("concepts"))).alias("results"))
 
 
 def outside_scenarios(values: DataFrame, scenarios: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ QUERIES = {
         SELECT q.vec_id AS query_id, d.vec_id AS doc_pos, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)) WHERE rank <= 10"""),
     "two_stage_rank": (two_stage_rank, f"""WITH q AS (SELECT item_id AS query_id, text AS query, embedding AS qv FROM benchmark JOIN embeddings ON item_id = vec_id QUALIFY row_number() OVER (PARTITION BY text ORDER BY item_id) = 1),
         near AS (SELECT query_id, query, doc_id AS doc_pos, text, list_inner_product(CAST(qv AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM q, documents d JOIN embeddings e ON d.doc_id % 500 = e.vec_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_pos) <= 50),
-        scored AS (SELECT query_id, doc_pos, coalesce(len(list_intersect({_SET.format(c='query')}, {_SET.format(c='text')})) / nullif(len(list_distinct(list_concat({_SET.format(c='query')}, {_SET.format(c='text')}))), 0), 0.0) AS score FROM near)
+        scored AS (SELECT query_id, doc_pos, coalesce(len(list_intersect({_SET.format(c='query')}, {_SET.format(c='text')})) / nullif(len(list_distinct(list_concat({_SET.format(c='query')}, {_SET.format(c='text')}))), 0), 0e0) AS score FROM near)
         SELECT query_id, doc_pos, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_pos) AS rank FROM scored QUALIFY rank <= 5"""),
     "fuzzy_similarity": (fuzzy_similarity, fx.with_ctes({"pairs": f"SELECT * FROM ({fx.duck(_PAIRS)}) WHERE b IS NOT NULL", "vals": "SELECT DISTINCT unnest(list_prepend(value, string_split(value, ' '))) AS value FROM (SELECT a AS value FROM pairs UNION ALL SELECT b FROM pairs)",
         "vecs": "SELECT value, embedding AS v FROM vals JOIN embeddings ON (ascii(value) * 7 + length(value) * 3) % 499 = vec_id",
