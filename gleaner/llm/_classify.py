@@ -86,7 +86,7 @@ class Model:
 def fit(labels: np.ndarray, style: np.ndarray, words: list[np.ndarray], classes: int) -> Model:
     """labels: class of each sampled text; words: its distinct buckets."""
     n = len(labels)
-    half = np.arange(n) % 2 == 0
+    half = np.random.Generator(np.random.PCG64(11)).permutation(n) % 2 == 0  # no order of the rows can part the classes
     # a text counts once for a word; odds of the word's share in the class against the rest
     odds = np.zeros((classes, BUCKETS), np.float32)
     seen = np.zeros((classes, BUCKETS))
