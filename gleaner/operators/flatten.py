@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.vectors import let
+
 #: A concept's content stays JSON text until it is flattened, so numbers and lists keep the form they were written in.
 RESULT_SCHEMA = "metadata struct<exec_time: double, pid: string, pdf_path: string, model: string>, tokens map<string, string>, results array<struct<concepts: array<map<string, string>>>>"
 
@@ -39,8 +41,8 @@ def field_entries(concepts: Column, key_only: bool = False) -> Column:
 
 def last_of_each(entries: Column) -> Column:
     """Entries whose field does not come again later."""
-    later = lambda x, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["field"] == x["field"])
-    return F.filter(entries, lambda x, i: ~later(x, i))
+    later = lambda es, x, i: F.exists(F.slice(es, i + 2, F.size(es)), lambda y: y["field"] == x["field"])
+    return let(entries, lambda es: F.filter(es, lambda x, i: ~later(es, x, i)))
 
 
 def upper_name(field: Column) -> Column:
