@@ -33,7 +33,7 @@ PATTERNS = {
     "number": r"(?<![A-Za-z0-9=\x22.+-])(?:\([0-9]{2,4}\)\x20?[0-9]{3}[\x20.-][0-9]{3,4}|[0-9]{3}[.-][0-9]{2,3}[.-][0-9]{4}|[0-9]{4}(?:[\x20-]?[0-9]{4}){3})(?![A-Za-z0-9.-])",
     "secret": r"(?i)(?:(?<![a-z0-9])(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?\x22?[a-z0-9+/_-]{8,64}\x22?|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9]))",
 }
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}+)"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}+)"
 _CUES = r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|card|account|visa|ssn|passport|login|password|passwd|token|secret|key|user)"
 _STRICT = {
     "contact": r"(?i)(?:\[at\]|\(at\)).*(?:\[dot\]|\(dot\))",

@@ -89,3 +89,13 @@ def test_redaction_keeps_rows_and_columns(spark):
     got = {r.doc_id: (r.text, r.base) for r in out.collect()}
     assert got == {1: ("Mail é [EMAIL] or [PHONE].", "n"), 2: (None, None), 3: ("clean text", ""), 4: ("", "")}
     assert redacted(spark.createDataFrame([], "doc_id long, text string, n_chars long")).collect() == []
+
+
+def test_addresses_with_parts_of_zeros_alone(spark):
+    found = ["10.0.0.1", "127.0.0.1", "0.0.0.0", "192.168.1.0", "000.00.0.01", "8.8.8.8", "0255.0.0.255"]
+    rows = [(i, f"from {t} on", "x") for i, t in enumerate(found)] + [(100 + i, f"from {t} on", "x") for i, t in enumerate(["0.0.0.256", "0.0.0.0256", "00300.0.0.0", "0." + "0" * 4_000 + "256.0.0"])]
+    got = {r.doc_id: tuple(r[1:6]) for r in private_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {d: brute(t)[0] for d, t, _ in rows}
+    assert all(got[i][1] == (1 if i < 100 else 0) for i in got)
+    texts = [r.text for r in redacted(spark.createDataFrame(rows[: len(found)], SCHEMA)).collect()]
+    assert texts == ["from [IP] on"] * len(found)
