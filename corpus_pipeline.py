@@ -25,7 +25,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents of which benchmark passages are a twentieth or more go; others lose the passages they hold."""
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ WINDOW, GRAM = 13, 5
 #: Benchmark text that an index in each task may be built from.
 MOST_BYTES = 8 << 20
 _BITS = 1 << 20
+#: Stands where a passage was cut out; a word by itself, so that what it parts gives no new window.
+OMITTED = "…"
 MEASURES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -85,8 +87,8 @@ def _within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[i] == values, i, -1)
 
 
-def measure(words: Words, index: Index, n: int) -> tuple[np.ndarray, list[set[int]]]:
-    """Of n texts: words within a window's occurrences, and the items whose windows occur."""
+def measure(words: Words, index: Index, n: int) -> tuple[np.ndarray, list[set[int]], np.ndarray]:
+    """Of n texts: words within a window's occurrences, and the items whose windows occur; and of each word if it is within."""
     cover = np.zeros(len(words.hash) + 1, np.int64)
     items: list[set[int]] = [set() for _ in range(n)]
 
@@ -106,7 +108,21 @@ def measure(words: Words, index: Index, n: int) -> tuple[np.ndarray, list[set[in
             n_at = len(words.hash) - m + 1
             extend(np.flatnonzero(words.text[:n_at] == words.text[m - 1 :]), m)
     inside = np.cumsum(cover[:-1]) > 0
-    return np.bincount(words.text[inside], minlength=n), items
+    return np.bincount(words.text[inside], minlength=n), items, inside
+
+
+def _left(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: Words, inside: np.ndarray) -> list[str | None]:
+    """Each text with OMITTED for every run of words within a window; null for a text without any."""
+    out: list[str | None] = [None] * len(starts)
+    for r in np.unique(words.text[inside]).tolist():
+        at = words.ptr[r]
+        edge = np.flatnonzero(np.diff(inside[at : words.ptr[r + 1]].astype(np.int8), prepend=0, append=0)) + at
+        parts, done = [], int(starts[r])
+        for a, b in zip(words.start[edge[::2]].tolist(), words.end[edge[1::2] - 1].tolist(), strict=True):
+            parts += [data[done:a].tobytes(), OMITTED.encode()]
+            done = b
+        out[r] = b"".join([*parts, data[done : ends[r]].tobytes()]).decode()
+    return out
 
 
 def _columns(counts: list[int], hits: list[int], items: list[set[int]]) -> list[pa.Array]:
@@ -115,19 +131,25 @@ def _columns(counts: list[int], hits: list[int], items: list[set[int]]) -> list[
     return [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_())]
 
 
-def _lookup(index):
+def _measured(row: pa.Array, counts: list[int], hits: list[int], items: list[set[int]], left: list[str | None]) -> pa.RecordBatch:
+    left = left or [None] * len(counts)
+    return pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(_columns(counts, hits, items), _NAMES), pa.array(left, pa.string())], ["row", "leak", "left"])
+
+
+def _lookup(index, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
         for batch in batches:
             row = batch.column(0)
-            counts, hits, items = [], [], []
+            counts, hits, items, left = [], [], [], []
             for i, j, data, starts, ends in slices(row.field("text")):
                 words = Words(data, starts, ends, ALNUM_WORDS)
-                h, x = measure(words, found, j - i)
+                h, x, inside = measure(words, found, j - i)
                 counts += words.count.tolist()
                 hits += h.tolist()
                 items += x
-            yield pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(_columns(counts, hits, items), _NAMES)], ["row", "leak"])
+                left += _left(data, starts, ends, words, inside) if texts else ()
+            yield _measured(row, counts, hits, items, left)
 
     return run
 
@@ -135,22 +157,29 @@ def _lookup(index):
 _NAMES = [x.split()[0] for x in MEASURES.split(", ")]
 
 
-def _own_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own_items(texts: bool):
     """Each row against the items that share a fingerprint with it."""
-    for batch in batches:
-        row, shared = batch.column(0), batch.column(1).to_pylist()
-        counts, hits, items = [], [], []
-        for i, text in enumerate(row.field("text").to_pylist()):
-            words = Words(*_alone(text), ALNUM_WORDS)
-            counts.append(int(words.count[0]))
-            if shared[i]:
-                h, x = measure(words, build([s["item_id"] for s in shared[i]], [s["item"] for s in shared[i]]), 1)
-                hits.append(int(h[0]))
-                items += x
-            else:
-                hits.append(0)
-                items.append(set())
-        yield pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(_columns(counts, hits, items), _NAMES)], ["row", "leak"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, shared = batch.column(0), batch.column(1).to_pylist()
+            counts, hits, items, left = [], [], [], []
+            for i, text in enumerate(row.field("text").to_pylist()):
+                alone = _alone(text)
+                words = Words(*alone, ALNUM_WORDS)
+                counts.append(int(words.count[0]))
+                if shared[i]:
+                    h, x, inside = measure(words, build([s["item_id"] for s in shared[i]], [s["item"] for s in shared[i]]), 1)
+                    hits.append(int(h[0]))
+                    items += x
+                    left += _left(*alone, words, inside) if texts else [None]
+                else:
+                    hits.append(0)
+                    items.append(set())
+                    left.append(None)
+            yield _measured(row, counts, hits, items, left)
+
+    return run
 
 
 def _alone(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,8 +222,10 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["item_id", "m", "h"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(row struct of all columns of docs, leak struct of MEASURES) for every row of docs.
+def leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES, texts: bool = False) -> DataFrame:
+    """(row struct of all columns of docs, leak struct of MEASURES, left) for every row of docs.
+
+    With `texts`, `left` is a hit text without its hit words; else, and for texts without a hit, it is null.
 
     docs: doc_id, text; benchmark: item_id, text. Null texts and texts without words have no words and no windows;
     items with a null id take no part; repeated items count once. A text is contaminated when it has a hit and a
@@ -203,19 +234,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).where("item_id is not null and item is not null")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = T.StructType([*rows.schema.fields, T.StructField("leak", T._parse_datatype_string(MEASURES))])
+    out = T.StructType([*rows.schema.fields, T.StructField("leak", T._parse_datatype_string(MEASURES)), T.StructField("left", T.StringType())])
     size = items.agg(F.sum(F.octet_length("item") + 16)).first()[0] or 0
     if size <= most_bytes:
         found = items.collect()  # of a size just checked
         index = spark.sparkContext.broadcast(build([r.item_id for r in found], [r.item for r in found]))
-        return rows.mapInArrow(_lookup(index), out)
+        return rows.mapInArrow(_lookup(index, texts), out)
     prints = items.mapInArrow(_item_rows, "item_id long, m int, h long").distinct()
     lengths = [r.m for r in prints.where(f"m < {WINDOW}").select("m").distinct().collect()]  # twelve at most
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     pairs = given.mapInArrow(_print_rows(lengths), "doc_id long, m int, h long").join(prints, ["m", "h"]).select("doc_id", "item_id").distinct()
     shared = pairs.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
     met = rows.join(shared, F.col("row.doc_id").cast("long") == shared.doc_id, "left").select("row", "items")
-    return met.mapInArrow(_own_items, out)
+    return met.mapInArrow(_own_items(texts), out)
 
 
 def leak_measures(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -224,5 +255,15 @@ def leak_measures(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, that are not contaminated."""
-    return leaks(docs, benchmark, most_bytes).where("not leak.contaminated").select("row.*")
+    """The rows of docs, with all their columns, that are not contaminated, and of those the texts without their hit words.
+
+    n_chars, where there is one, becomes the new length of a text that lost words.
+    """
+    found = leaks(docs, benchmark, most_bytes, texts=True).where("not leak.contaminated")
+
+    def column(c: str) -> Column:
+        kept = F.col(f"row.`{c}`")
+        new = {"text": F.col("left"), "n_chars": F.length("left")}.get(c)
+        return kept if new is None else F.when(F.col("left").isNotNull(), new.cast(docs.schema[c].dataType)).otherwise(kept).alias(c)
+
+    return found.select(*map(column, docs.columns))

@@ -72,3 +72,20 @@ def test_empty_tables(spark):
     assert leak_measures(d.limit(0), b).collect() == []
     for most in (1 << 20, -1):
         assert all(r.n_hit == 0 and not r.contaminated for r in leak_measures(d, b.limit(0), most).collect())
+
+
+def test_long_documents_lose_the_passages_they_hold(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(9)) for _ in range(n))
+    passage, short, head, tail = text(40), text(6), text(1000), text(1000)
+    rows = [(1, f"{head} ({passage.upper()}) {tail}", 0), (2, f"{head}\n{' '.join(passage.split()[5:18])}. {short}, {tail}", 0), (3, head, 0), (4, passage, 0), (5, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").selectExpr("doc_id", "text", "coalesce(length(text), 7) as n_chars")
+    items = spark.createDataFrame([(1, passage, 0), (2, short, 0)], ITEMS)
+    want = {1: f"{head} (…) {tail}", 2: f"{head}\n…, {tail}", 3: head, 5: None}
+    for most in (1 << 20, 0):
+        left = without_leaks(docs, items, most)
+        assert left.dtypes == docs.dtypes
+        got = {r.doc_id: (r.text, r.n_chars) for r in left.collect()}
+        assert {d: t for d, (t, _) in got.items()} == want
+        assert all(n == (7 if t is None else len(t)) for t, n in got.values())
+        assert all(r.n_hit == 0 for r in leak_measures(left, items).collect())
