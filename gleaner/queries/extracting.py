@@ -81,7 +81,7 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = fx.derived(spark, sf_dir, fx.PAPERS).where("doc_id < 1000")
+    text = fx.derived(spark, sf_dir, fx.PAPERS)
     return text.select(F.col("doc_id").cast("string").alias("pid"), F.concat(F.lit("/papers/"), "doc_id").alias("path"), "text", F.when(F.col("doc_id") % 50 == 49, "unreadable").alias("error"))
 
 

@@ -29,3 +29,9 @@ def test_entry_imports_and_runs(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns[0] == "field"
+
+
+def test_extraction_takes_all_papers(spark):
+    readable = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").where("c_custkey % 50 <> 49").count()
+    assert readable > 1000
+    assert QUERIES["extraction_plan"](spark, "/root/testdata/sf0.01").select("pid").distinct().count() == readable
