@@ -58,9 +58,9 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleaner.llm.sentences import remove_repeated_spans
+    from gleaner.llm.sentences import GRAM, remove_repeated_spans
 
-    return remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return remove_repeated_spans(table(spark, sf_dir, "documents"), gram=GRAM)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ A sentence ends at a line end, or at white space after one of .!? ; runs are com
 `least_sentences` sentences and `least_words` words is hashed; a sentence of `long_sentence` words is a run by itself.
 Of equal runs the first by (doc_id, position) stays; sentences that another one covers are removed.
 
+Passages that stand within other text, with no whole sentence of their own, are found by runs of `gram` words anywhere:
+of all such runs in every window of WINDOW starts the least hash is taken (winnowing), so a shared span of
+gram + WINDOW - 1 words always has a run in common, and its later places lose the words of that run.
+
 Within a map task only the first of equal runs goes to the shuffle, so a line that a third of all documents hold sends
 a row per task; equal hashes are then read as a sorted stream that keeps one hash in mind.
 """
@@ -18,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm._text import SPACE_WORDS, U64, Words, mix, powers, signed, slices
+from gleaner.llm._text import SPACE_WORDS, U64, Words, mix, powers, signed, slices, window_min
 
 LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 12, 24
+#: Words of a run that may begin and end within sentences, and starts of which one is taken at least.
+GRAM, WINDOW = 24, 14
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
@@ -43,8 +49,18 @@ class Sentences:
         self.ptr = np.concatenate(([0], np.cumsum(self.count)))
 
 
-def runs(s: Sentences, least_sentences: int, least_words: int, long_sentence: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, last sentence, hash) of every run, each once."""
+def _winnowed(text: np.ndarray, h: np.ndarray, gram: int) -> np.ndarray:
+    """Starts of runs of `gram` words whose hash is the least of a window of WINDOW starts that lies within one text."""
+    n = len(h) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least = np.where(text[:n] == text[WINDOW + gram - 2 :], window_min(h, WINDOW), U64(0))
+    pad = np.zeros(WINDOW - 1, U64)
+    return np.flatnonzero(~window_min(~np.concatenate((pad, least, pad)), WINDOW) == h)
+
+
+def runs(s: Sentences, least_sentences: int, least_words: int, long_sentence: int, gram: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, hash) of every run, each once."""
     n = len(s.first)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
@@ -56,14 +72,19 @@ def runs(s: Sentences, least_sentences: int, least_words: int, long_sentence: in
     alone = s.mark[i + 1] - s.first >= long_sentence
     a = np.concatenate((i[ok], back[ok_back], i[alone]))
     b = np.concatenate((to[ok] - 1, i[ok_back], i[alone]))
-    pairs = np.unique(a * (n + 1) + b)
-    a, b = pairs // (n + 1), pairs % (n + 1)
     w = s.words
     p, inverse = powers(len(w.hash) + 1)
     pre = np.zeros(len(w.hash) + 1, U64)
     np.cumsum(w.hash * p[: len(w.hash)], out=pre[1:])
+    hashed = lambda x, y: mix((pre[y] - pre[x]) * inverse[x] + (y - x).astype(U64))
     x, y = s.mark[a], s.mark[b + 1]
-    return a, b, mix((pre[y] - pre[x]) * inverse[x] + (y - x).astype(U64))
+    if gram and len(w.hash) >= gram:
+        at = np.arange(len(w.hash) - gram + 1)
+        at = _winnowed(w.text, hashed(at, at + gram), gram)
+        x, y = np.concatenate((x, at)), np.concatenate((y, at + gram))
+    pairs = np.unique(x * (len(w.hash) + 1) + y)
+    x, y = pairs // (len(w.hash) + 1), pairs % (len(w.hash) + 1)
+    return x, y, hashed(x, y)
 
 
 def _run_rows(*least: int):
@@ -74,8 +95,8 @@ def _run_rows(*least: int):
             for i, _, data, starts, ends in slices(batch.column(1)):
                 s = Sentences(data, starts, ends)
                 a, b, h = runs(s, *least)
-                base = s.ptr[s.text[a]]
-                held.append((ids[s.text[a] + i], a - base, b - base, h))
+                base = s.words.ptr[s.words.text[a]]
+                held.append((ids[s.words.text[a] + i], a - base, b - base, h))
                 count += len(a)
                 if count > 1_000_000:
                     yield _local(held)
@@ -118,31 +139,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(j - i):
                 body = data[starts[r] : ends[r]].tobytes()
                 n = int(s.count[r])
-                cut = np.zeros(n + 1, np.int64)
-                for x in spans[row] or ():
-                    cut[x["a"]] += 1
-                    cut[x["b"] + 1] -= 1
-                out = np.cumsum(cut[:-1]) > 0
-                if out.any():
-                    # a sentence reaches to the next one's start; what stands before the first one stays
-                    at = np.concatenate((s.words.start[s.first[s.ptr[r] : s.ptr[r + 1]]] - starts[r], [len(body)])).tolist()
-                    body = body[: at[0]] + b"".join(body[at[k] : at[k + 1]] for k in range(n) if not out[k])
+                lost = 0
+                if spans[row]:
+                    lo, hi = s.words.ptr[r], s.words.ptr[r + 1]
+                    cut = np.zeros(hi - lo + 1, np.int64)
+                    for x in spans[row]:
+                        cut[x["a"]] += 1
+                        cut[x["b"]] -= 1
+                    out = np.cumsum(cut[:-1]) > 0
+                    lost = int(np.logical_or.reduceat(out, s.first[s.ptr[r] : s.ptr[r + 1]] - lo).sum())
+                    # a word reaches to the next one's start; what stands before the first one stays
+                    at = np.concatenate((s.words.start[lo:hi] - starts[r], [len(body)]))
+                    edge = at[np.flatnonzero(np.diff(out.astype(np.int8), prepend=0, append=0))].tolist()
+                    body = b"".join(body[a:b] for a, b in zip([0, *edge[1::2]], [*edge[::2], len(body)], strict=True))
                 total.append(n)
-                gone.append(int(out.sum()))
+                gone.append(lost)
                 texts.append(body.decode())
                 row += 1
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
 
 
-def remove_repeated_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE, gram: int = 0) -> DataFrame:
     """Of each document its sentences, those removed, and the text without them.
 
     docs: doc_id (unique), text; other columns are ignored. Returns doc_id, n_sentences, n_removed, text. A null text
-    counts as empty. Repeats within a document count as well. Rows with a null doc_id are left out.
+    counts as empty. n_removed counts the sentences that lose words: all of them, or with `gram` (0: none) the part that
+    a repeated run of so many words covers. Repeats within a document count as well. Rows with a null doc_id are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(_run_rows(least_sentences, least_words, long_sentence), "h long, doc_id long, a int, b int, late boolean")
+    rows = docs.mapInArrow(_run_rows(least_sentences, least_words, long_sentence, gram), "h long, doc_id long, a int, b int, late boolean")
     late = rows.repartition(parts, "h").sortWithinPartitions("h", "doc_id", "a").mapInArrow(_later, "doc_id long, a int, b int")
     spans = late.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, text string")

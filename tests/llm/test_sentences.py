@@ -76,3 +76,19 @@ def test_a_passage_goes_but_its_first_place(spark):
 
 def test_empty_table(spark):
     assert remove_repeated_spans(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_passage_within_other_sentences_loses_words(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(9)) for _ in range(n))
+    passages = [text(51) for _ in range(40)]
+    rows = [(d, f"{text(d)} {p} {text(30)}.", "") for d, p in enumerate(passages)] + [(100 + d, f"{text(20)} {p.upper()} {text(d)}.", "") for d, p in enumerate(passages)] + [(200, text(300), "")]
+    got = {r.doc_id: r for r in remove_repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(3), gram=24).collect()}
+    for d, t, _ in rows:
+        left, was = got[d].text.split(), t.split()
+        if 100 <= d < 200:
+            gone = len(was) - len(left)
+            assert 24 <= gone <= 51 and got[d].n_removed == 1
+            assert left[:20] == was[:20] and left[len(left) - d + 100 :] == was[len(was) - d + 100 :]
+        else:
+            assert got[d].text == t and got[d].n_removed == 0
