@@ -3,8 +3,8 @@
 Equal vectors are one node, with its least members kept, so a vector that a third of all rows hold is one point. The
 graph starts from blocks of random-projection leaves. Each pass samples every node's new and old neighbours in both
 directions, joins them at the node (neighbours of neighbours), and sends only pairs nearer than what a side already
-has. Vectors travel in half precision while the graph is built; search and scores use the original ones in double
-precision. Search keeps a beam per query, expands its best unexpanded nodes by a join with the graph, and stops when
+has. Vectors travel as they are given, in single precision and unscaled, and every distance is computed in double
+precision, so rows of a far larger size change nothing for the others. Search keeps a beam per query, expands its best unexpanded nodes by a join with the graph, and stops when
 the beam has none left.
 """
 
@@ -38,15 +38,11 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(raw, kind).reshape(len(column), -1) if len(column) else np.zeros((0, 0), kind)
 
 
-def _packed(scale: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column(1)
-            m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v), -1) if len(v) else np.zeros((0, 1), np.float32)
-            half = (m / np.float32(scale)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in m], pa.binary()), pa.array([x.tobytes() for x in half], pa.binary())], ["id", "v", "h"])
-
-    return run
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v = batch.column(1)
+        m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(v), -1) if len(v) else np.zeros((0, 1), np.float32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in m], pa.binary())], ["vec_id", "v"])
 
 
 def _grouped(work: Callable[[pa.RecordBatch], list], keys: int, names: list[str], types: list, most: int | None = None):
@@ -82,14 +78,18 @@ def _grouped(work: Callable[[pa.RecordBatch], list], keys: int, names: list[str]
     return run
 
 
+#: What no distance exceeds, so that all fit single precision.
+_FAR = float(np.finfo(np.float32).max)
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T
-    return np.maximum(d, 0)
+    return np.minimum(np.sqrt(np.maximum(d, 0)), _FAR)
 
 
 def _leaf(degree: int):
     def work(rows: pa.RecordBatch) -> list:
-        ids, m = rows.column(2).to_numpy(zero_copy_only=False), _matrix(rows.column(3), np.float16).astype(np.float32)
+        ids, m = rows.column(2).to_numpy(zero_copy_only=False), _matrix(rows.column(3), np.float32).astype(np.float64)
         n = len(ids)
         if n < 2:
             return []
@@ -109,7 +109,7 @@ def _meet(rows: pa.RecordBatch) -> list:
     ids, new, bound = ids[first], new[first], bound[first]
     if len(ids) < 2 or not new.any():
         return []
-    m = _matrix(rows.column(4), np.float16)[first].astype(np.float32)
+    m = _matrix(rows.column(4), np.float32)[first].astype(np.float64)
     d = _distances(m, m)
     a, b = np.nonzero((new[:, None] | new[None]) & (d < bound[:, None]) & ~np.eye(len(ids), dtype=bool))
     return [(ids[a], ids[b], d[a, b].astype(np.float32))] if len(a) else []
@@ -124,35 +124,35 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("d", "b"))).where(F.col("r") <= k).drop("r")
 
 
-def _leaves(planes: np.ndarray, mean: np.ndarray):
+def _leaves(planes: np.ndarray, middle: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _matrix(batch.column(1), np.float16).astype(np.float32)
+            m = _matrix(batch.column(1), np.float32).astype(np.float64)
             if not len(m):
                 continue
-            bits = np.einsum("nd,tbd->tnb", m - mean, planes) > 0
+            bits = np.einsum("nd,tbd->tnb", m - middle, planes) > 0
             keys = (bits * (1 << np.arange(planes.shape[1]))).sum(axis=2)
             for t in range(len(planes)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), pa.array(keys[t].astype(np.int64)), batch.column(0), batch.column(1)], ["tree", "key", "id", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), pa.array(keys[t].astype(np.int64)), batch.column(0), batch.column(1)], ["tree", "key", "id", "v"])
 
     return run
 
 
 def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, sample: int = SAMPLE, passes: int = PASSES, seed: int = 17) -> DataFrame:
-    """nodes: id, h (packed half-precision vector). Returns edges u, b, d (squared distance in that precision)."""
+    """nodes: id, v (packed single-precision vector). Returns edges u, b, d (distance)."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = nodes.count()
     if n < 2:
         return nodes.sparkSession.createDataFrame([], "u long, b long, d float, new boolean")
-    dim = len(nodes.select("h").first().h) // 2
+    dim = len(nodes.select("v").first().v) // 4
     rng = np.random.Generator(np.random.PCG64(seed))
     bits = max(0, math.ceil(math.log2(n / LEAF)))
     planes = rng.normal(size=(TREES if bits else 1, max(bits, 1), dim)).astype(np.float32)
     if not bits:
         planes[:] = 0
-    probe = nodes.orderBy(F.xxhash64("id")).limit(512).select("h").collect()
-    mean = np.mean([np.frombuffer(r.h, np.float16).astype(np.float32) for r in probe], axis=0)
-    leaves = nodes.select("id", "h").mapInArrow(_leaves(planes, mean), "tree int, key long, id long, h binary")
+    probe = nodes.orderBy(F.xxhash64("id")).limit(512).select("v").collect()
+    middle = np.median([np.frombuffer(r.v, np.float32).astype(np.float64) for r in probe], axis=0)
+    leaves = nodes.select("id", "v").mapInArrow(_leaves(planes, middle), "tree int, key long, id long, v binary")
     started = leaves.repartition(parts, "tree", "key").sortWithinPartitions("tree", "key", F.xxhash64("id")).mapInArrow(_grouped(_leaf(degree), 2, *_EDGE, most=2 * LEAF), "u long, b long, d float")
     graph = written(_best(started.withColumn("new", F.lit(True)), degree), "ann-graph")
     for turn in range(passes):
@@ -161,9 +161,9 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, sample: int = SAMPLE
         chosen = written(graph.withColumn("r", top("u")).where(F.col("r") <= sample).select("u", "b", "new"), "ann-sample")
         back = chosen.withColumn("r", top("b")).where(F.col("r") <= sample).select(F.col("b").alias("center"), F.col("u").alias("id"), "new")
         bound = graph.groupBy("u").agg(F.max("d").alias("far"), F.count("*").alias("k")).select(F.col("u").alias("id"), F.when(F.col("k") >= degree, F.col("far")).otherwise(F.lit(float("inf"))).cast("float").alias("bound"))
-        known = nodes.select("id", "h").join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")).cast("float")))
+        known = nodes.select("id", "v").join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")).cast("float")))
         members = chosen.select(F.col("u").alias("center"), F.col("b").alias("id"), "new").unionByName(back).groupBy("center", "id").agg(F.max("new").alias("new"))
-        met = members.join(known, "id").select("center", "id", "new", "bound", "h")
+        met = members.join(known, "id").select("center", "id", "new", "bound", "v")
         found = met.repartition(parts, "center").sortWithinPartitions("center").mapInArrow(_grouped(_meet, 1, *_EDGE), "u long, b long, d float")
         # what was sampled as new is old from now on
         aged = graph.join(chosen.where("new").select("u", "b", F.lit(True).alias("used")), ["u", "b"], "left").select("u", "b", "d", (F.col("new") & F.col("used").isNull()).alias("new"))
@@ -216,12 +216,10 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     smaller vec_id.
     """
     rows = usable(vectors)
-    most = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
-    if not most:
+    if rows.isEmpty():
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = written(rows.mapInArrow(_packed(float(most)), "id long, v binary, h binary").withColumnRenamed("id", "vec_id"), "ann-vectors")
-    nodes = rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.first("h").alias("h"))
-    nodes = written(nodes.select("id", "v", "h"), "ann-nodes")
+    rows = written(rows.mapInArrow(_packed, "vec_id long, v binary"), "ann-vectors")
+    nodes = written(rows.groupBy("v").agg(F.min("vec_id").alias("id")).select("id", "v"), "ann-nodes")
     of = Window.partitionBy("v").orderBy("vec_id")
     least = rows.select("v", "vec_id").withColumn("r", F.row_number().over(of)).where(F.col("r") <= k + 1)
     members = written(least.join(nodes.select("id", "v"), "v").select("id", "vec_id"), "ann-members")

@@ -33,3 +33,17 @@ def test_few_and_no_vectors(spark):
     got = nearest(_table(spark, [(0, [1.0, 0.0], "x"), (7, [1.0, 0.0], "x"), (9, [0.0, 1.0], "x")])).orderBy("rank").collect()
     assert [(r.vec_id, round(r.score, 6)) for r in got] == [(7, 0.0), (9, 1.414214)]
     assert nearest(_table(spark, [])).count() == 0
+
+
+def test_one_row_of_another_size_leaves_recall_as_it_is(spark):
+    rng = np.random.default_rng(5)
+    m = (rng.normal(size=(60, 16))[rng.integers(0, 60, 4000)] + 0.3 * rng.normal(size=(4000, 16))).astype(np.float32)
+    m[777, 3] = 1e8
+    m[778] = 3e38
+    got = nearest(_table(spark, [(i, [float(x) for x in v], "x") for i, v in enumerate(m)])).collect()
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((m.astype(np.float64) - m[q].astype(np.float64)) ** 2).sum(axis=1))
+        best = [i for i in np.argsort(d, kind="stable").tolist() if i != q][:10]
+        hits += len(set(best) & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 0.9 * 400
