@@ -253,7 +253,8 @@ def _windows(length: int, group: int):
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal rows, waiting
             if size > group:
-                yield from large(rows, size - len(rows))
+                if rows:  # the last of them may have gone already
+                    yield from large(rows, size - len(rows))
             elif len(rows) > 1 and not all(r[4] for r in rows):
                 pending.append(rows)
                 waiting += len(rows)

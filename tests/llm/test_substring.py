@@ -67,3 +67,12 @@ def test_empty_table_and_kept_bytes(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     kept = {r.doc_id: bytes(r.kept) for r in remove_repeats(df, 40, texts=True).collect()}
     assert kept == {1: b"ppp", 2: "é".encode()}
+
+
+def test_groups_that_end_as_their_rows_are_passed_on(spark):
+    rng = random.Random(6)
+    common = "".join(rng.choice("xyz ") for _ in range(60))
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(25))
+    for n in (5, 10):
+        rows = [(d, word() + common + word(), "") for d in range(n)]
+        assert found(spark, rows, 40, group=4) == brute(rows, 40)
