@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -33,7 +34,64 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes a table that written() gave, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unique_rows(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """key (long, never null, its own for each row, ordered as doc_id), doc_id, text and with `whole` all columns as struct `row`.
+
+    Where doc_id tells all rows apart it is the key. Else rows are numbered in the order of doc_id (nulls last), text
+    hash, and written, so that a number stays what it is; equal rows and a doc_id of many rows are split like others.
+    """
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return rows.withColumn("key", F.col("doc_id"))
+    ordered = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id())
+    return written(ordered.withColumn("key", F.monotonically_increasing_id()), "numbered-rows")
+
+
+#: Keys that may be broadcast as frequent ones.
+MOST_HOT = 1_000_000
+
+
+def hot_keys(counts: DataFrame, on: list[str], least: int) -> DataFrame | None:
+    """Keys `on` of counts (on, n) with n over `least`, or over more than that if they were more than MOST_HOT; None for none.
+
+    Their number is checked, so the table may be broadcast.
+    """
+    counts = written(counts.where(F.col("n") > least), "hot-keys")
+    found = counts.count()
+    while found > MOST_HOT:
+        least *= 4
+        found = counts.where(F.col("n") > least).count()
+    return counts.where(F.col("n") > least).select(*on) if found else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", least: int = 10_000) -> DataFrame:
+    """left joined to right on keys that any number of left rows may have; both sides are read twice.
+
+    Rows of a key that over `least` rows of left have are dealt over so many buckets of about that size by their own
+    hash, and right's rows of that key go to each of them. Frequent keys are at most MOST_HOT, so their table is broadcast.
+    """
+    n = left.count()
+    least = max(least, n // 100_000)
+    hot = left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*on, F.ceil(F.col("_n") / least).cast("int").alias("_parts"))
+    hot = written(hot, "hot-keys")
+    if hot.isEmpty():
+        return left.join(right.hint("merge"), on, how)
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copies = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

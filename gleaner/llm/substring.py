@@ -6,14 +6,16 @@ suffixes to that depth would shuffle every byte position; only suffixes at *anch
 ones. The choice depends on the window's content alone, so equal windows have equal anchors at equal offsets, and
 windows only need comparing where their anchors are equal. Passes, most significant digit first:
 
-1. digit 1 is the anchor's k-gram: anchors whose k-gram occurs once drop out (the bulk of a corpus);
-2. digit 2 is everything a window with that anchor can hold, w - 1 bytes before it and `length` from it on: members of an
-   equal group repeat with all their windows and are finished;
-3. what is left (anchors near the ends of repeated passages, one representative per distinct context) is split by
-   the full window, offset by offset. Equal groups are exactly the repeated windows.
-
-Equal groups of copies are combined within each map task before the shuffle, so a text that fills a third of the
-corpus sends a row per task; groups are then read as sorted streams, never collected.
+1. digit 1 is the anchor's k-gram: anchors whose k-gram occurs once drop out (the bulk of a corpus), and of contexts
+   (all that windows with that anchor can hold) that are equal one goes on: the others repeat with all their windows;
+2. a bucket with up to `group` distinct contexts is split by the full window, offset by offset, in one task. Windows
+   with equal hashes are compared byte by byte: equal groups are exactly the repeated windows;
+3. a larger bucket is never brought together: its contexts are cut into blocks of window offsets, whose next digit is
+   what all windows of a block hold in common, and go through step 2 again, with blocks a quarter as wide each time. A
+   block of one offset is a full window.
+
+Equal contexts and blocks are combined within each map task before any shuffle, so a text that fills a third of the
+corpus sends a row per task; buckets are then read as sorted streams, never collected.
 """
 
 from __future__ import annotations
@@ -26,18 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm._io import written
+from gleaner.llm._io import discarded, hot_keys, spread_join, unique_rows, written
 from gleaner.llm._text import _CODES, U64, mix, prefix, ragged, signed, slices, spans_hash, text_buffers, window_min
 
 LENGTH = 200
 #: Bytes of the first digit.
 GRAM = 64
-#: Distinct contexts of one k-gram that a task splits by window itself; those of larger groups are shuffled by window.
+#: Distinct contexts of one bucket that a task splits by window itself.
 GROUP = 4096
+#: Occurrences of a k-gram in one batch that are counted towards the frequent ones.
+SEEN = 8
+#: Offsets of a bucket's blocks in each further pass.
+BLOCKS = (64, 16, 4, 1)
 
-_ANCHORS = "doc_id long, at int, lo int, hi int, gram long, context long, many boolean"
-_FOUND = "kind byte, doc_id long, lo int, hi int, at int, gram long, many boolean"
-_WINDOWS = "kind byte, doc_id long, lo int, hi int, window long, class long, many boolean"
+_ANCHORS = "key long, at int, lo int, hi int, gram long, context long, many boolean, seen int"
+_FOUND = "kind byte, key long, lo int, hi int, at int, gram long, many boolean"
+_AROUND = "kind byte, key long, lo int, hi int, at int, part long, many boolean, bytes binary"
 
 
 def _shape(length: int) -> tuple[int, int]:
@@ -51,7 +57,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, none.astype(U64), none.astype(U64)
-    pre = prefix(data, _CODES[0])
+    pre, other = prefix(data, _CODES[0]), prefix(data, _CODES[1], 1)
     at = np.arange(len(data) - k + 1)
     grams = mix(spans_hash(pre, at, at + k))
     least = window_min((grams & U64(0xFFFFFFFF00000000)) | at.astype(U64), w)
@@ -65,7 +71,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     run = np.flatnonzero(np.concatenate(([True], (pick[1:] != pick[:-1]) | (text[1:] != text[:-1]))))
     a, lo, hi, t = pick[run], p[run], p[np.concatenate((run[1:], [len(p)])) - 1], text[run]
     left, right = np.minimum(a - starts[t], w - 1), np.minimum(ends[t] - a, length)
-    context = mix(spans_hash(pre, a - left, a + right) + left.astype(U64) * U64(1_000_003) + right.astype(U64))
+    context = mix(spans_hash(other, a - left, a + right, 1) + left.astype(U64) * U64(1_000_003) + right.astype(U64))
     return t, a - starts[t], lo - starts[t], hi - starts[t], grams[a], context
 
 
@@ -78,19 +84,23 @@ def _combined(ids: np.ndarray, found: list[tuple[np.ndarray, ...]], length: int)
     text, at, lo, hi, gram, context = (x[order] for x in (text, at, lo, hi, gram, context))
     first = np.concatenate(([True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])))
     size = np.diff(np.concatenate((np.flatnonzero(first), [len(first)])))
-    many = np.repeat(size > 1, size)
-    yield _batch(ids[text[first]], at[first], lo[first], hi[first], gram[first], context[first], many[first])
+    many = size > 1
+    g = gram[first]
+    new = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    seen = np.zeros(len(g), np.int64)
+    seen[new] = np.diff(np.concatenate((new, [len(g)])))
+    yield _batch(ids[text[first]], at[first], lo[first], hi[first], g, context[first], many, np.where(seen >= SEEN, seen, 0))
     if (~first).any():
         # known to repeat: a group of its own, so that a common text's spans are spread over all tasks
         rest = ~first
         own = mix(ids[text[rest]].astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + at[rest].astype(U64)) ^ gram[rest]
-        yield _batch(ids[text[rest]], at[rest], lo[rest], hi[rest], own, own, many[rest])
+        yield _batch(ids[text[rest]], at[rest], lo[rest], hi[rest], own, own, np.ones(len(own), bool), np.zeros(len(own), np.int64))
 
 
-def _batch(doc, at, lo, hi, gram, context, many) -> pa.RecordBatch:
+def _batch(doc, at, lo, hi, gram, context, many, seen) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (at, lo, hi)), pa.array(signed(gram)), pa.array(signed(context)), pa.array(many)],
-        ["doc_id", "at", "lo", "hi", "gram", "context", "many"],
+        [pa.array(doc, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (at, lo, hi)), pa.array(signed(gram)), pa.array(signed(context)), pa.array(many), pa.array(seen.astype(np.int32))],
+        ["key", "at", "lo", "hi", "gram", "context", "many", "seen"],
     )
 
 
@@ -166,7 +176,7 @@ def _step(cols: list[np.ndarray], last: bool) -> tuple[list[pa.RecordBatch], lis
 def _found(kind: int, doc, lo, hi, at, gram, many) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(doc), kind, np.int8)), pa.array(doc, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (lo, hi, at)), pa.array(gram.astype(np.int64)), pa.array(many.astype(bool))],
-        ["kind", "doc_id", "lo", "hi", "at", "gram", "many"],
+        ["kind", "key", "lo", "hi", "at", "gram", "many"],
     )
 
 
@@ -184,107 +194,126 @@ def _contexts(length: int):
             lo, hi, at, gram, many = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "at", "gram", "many"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(off))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            body = data.tobytes()
             for i in range(0, len(row), 20_000):
                 r = slice(i, i + 20_000)
                 base = starts[row[r]]
-                text = [body[x:y] for x, y in zip((base + lo[r]).tolist(), (base + hi[r] + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row[r]]), pa.array(lo[r]), pa.array(hi[r]), pa.array(at[r]), pa.array(gram[r]), pa.array(many[r]), pa.array(text, pa.binary())],
-                    ["doc_id", "lo", "hi", "at", "gram", "many", "bytes"],
-                )
+                text = [data[x:y].tobytes() for x, y in zip((base + lo[r]).tolist(), (base + hi[r] + length).tolist(), strict=True)]
+                yield _around(1, ids[row[r]], lo[r], hi[r], at[r], gram[r], many[r], text)
 
     return run
 
 
-def _windows(length: int, group: int):
-    """Over representatives sorted by k-gram: within a k-gram, windows at equal offsets of the anchor that are equal.
+def _around(kind: int, key, lo, hi, at, part, many, text) -> pa.RecordBatch:
+    """Kind 0: windows lo..hi of key repeat. Kind 1: they are to be compared with others of their part."""
+    n = len(key)
+    cols = [pa.array(np.full(n, kind, np.int8)), pa.array(key, pa.int64()), *(pa.array(np.asarray(x).astype(np.int32)) for x in (lo, hi, at))]
+    rest = [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((part, pa.int64()), (many, pa.bool_()), (text, pa.binary()))]
+    return pa.RecordBatch.from_arrays([*cols, *rest], ["kind", "key", "lo", "hi", "at", "part", "many", "bytes"])
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, each one's first, its size)."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
-    Kind 0: windows lo..hi of doc_id repeat. Kind 1: a window of a group too large for one task, to be shuffled.
-    """
 
-    def hashes(rows: list) -> tuple[np.ndarray, ...]:
-        """(row, window start, window hash, anchor's offset within the window)"""
-        texts = [r[5] for r in rows]
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.array([len(t) for t in texts])
+def _windows(length: int):
+    """Over contexts sorted by part: within a part, windows at equal offsets of the anchor that are equal."""
+
+    def compared(rows: list) -> Iterator[pa.RecordBatch]:
+        data, first, sizes = _joined([r[5] for r in rows])
+        low, at = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
+        told = np.array([r[4] for r in rows], bool)
         counts = sizes - length + 1
-        first = np.cumsum(sizes) - sizes
         pre = prefix(data, _CODES[1], 1)
         i = ragged(counts)
         row = np.repeat(np.arange(len(rows)), counts)
         p = first[row] + i
-        offset = np.array([r[3] - r[1] for r in rows])[row] - i
-        return row, np.array([r[1] for r in rows])[row] + i, mix(spans_hash(pre, p, p + length, 1) + offset.astype(U64) * U64(0x9E3779B1)), offset
-
-    def small(rows: list) -> Iterator[pa.RecordBatch]:
-        row, start, h, _ = hashes(rows)
-        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        hit = (count[inverse] > 1) & ~np.array([r[4] for r in rows], bool)[row]
+        offset = (at - low)[row] - i
+        h = mix(spans_hash(pre, p, p + length, 1) + offset.astype(U64) * U64(0x9E3779B1))
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        # equal hashes are candidates; bytes and offsets decide
+        x, y = order[:-1][same], order[1:][same]
+        view = np.lib.stride_tricks.sliding_window_view(data, length)
+        equal = np.zeros(len(x), bool)
+        for j in range(0, len(x), 8192):
+            s = slice(j, j + 8192)
+            equal[s] = (offset[x[s]] == offset[y[s]]) & (view[p[x[s]]] == view[p[y[s]]]).all(axis=1)
+        hit = np.zeros(len(h), bool)
+        hit[x[equal]] = hit[y[equal]] = True
+        hit &= ~told[row]
         if hit.any():
-            row, start = row[hit], start[hit]
+            row, start = row[hit], (low[row] + i)[hit]
             run = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)))
             b = np.flatnonzero(run)
             e = np.concatenate((b[1:], [len(row)])) - 1
-            doc = np.array([r[0] for r in rows])[row[b]]
-            yield _window_rows(0, doc, start[b], start[e], None, None, None)
-
-    def large(rows: list, begun: int) -> Iterator[pa.RecordBatch]:
-        row, start, h, _ = hashes(rows)
-        doc = np.array([r[0] for r in rows])[row]
-        yield _window_rows(1, doc, start, start, h, row + begun, np.array([r[4] for r in rows], bool)[row])
+            yield _around(0, np.array([r[0] for r in rows])[row[b]], start[b], start[e], start[b], None, None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list = []
-        gram, size = None, 0
-        pending: list[list] = []  # small groups, done together
-        waiting = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal pending, waiting
-            if pending:
-                yield from small_many(pending)
-            pending, waiting = [], 0
-
-        def small_many(groups: list[list]) -> Iterator[pa.RecordBatch]:
-            # grams differ, so a group's number is mixed into nothing: windows hold the gram itself at the same offset
-            yield from small([r for g in groups for r in g])
+        rows: list = []  # of the open part
+        part = None
+        pending: list = []  # of whole parts, done together: a window holds its own part at the same offset
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal rows, waiting
-            if size > group:
-                if rows:  # the last of them may have gone already
-                    yield from large(rows, size - len(rows))
-            elif len(rows) > 1 and not all(r[4] for r in rows):
-                pending.append(rows)
-                waiting += len(rows)
-                if waiting > 2000:
-                    yield from flush()
-            rows = []
+            if len(rows) > 1 and not all(r[4] for r in rows):
+                pending.extend(rows)
+                if len(pending) > 2000:
+                    yield from compared(pending)
+                    pending.clear()
+            rows.clear()
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in range(7)]
-            for doc, lo, hi, at, g, many, text in zip(*cols, strict=True):
-                if g != gram:
+            for key, lo, hi, at, g, many, text in zip(*cols, strict=True):
+                if g != part:
                     yield from close()
-                    gram, size = g, 0
-                rows.append((doc, lo, hi, at, many, text))
-                size += 1
-                if size > group and len(rows) > group:
-                    yield from large(rows, size - len(rows))
-                    rows = []
+                    part = g
+                rows.append((key, lo, hi, at, many, text))
         yield from close()
-        yield from flush()
+        if pending:
+            yield from compared(pending)
 
     return run
 
 
-def _window_rows(kind: int, doc, lo, hi, window, cls, many) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int8)), pa.array(doc, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(n, pa.int64()) if window is None else pa.array(signed(window)), pa.nulls(n, pa.int64()) if cls is None else pa.array(cls.astype(np.int64)), pa.nulls(n, pa.bool_()) if many is None else pa.array(many)],
-        ["kind", "doc_id", "lo", "hi", "window", "class", "many"],
-    )
+def _blocks(length: int, size: int):
+    """Contexts of crowded parts, cut into blocks of `size` window offsets: the next part is what a block's windows share.
+
+    Of equal blocks in a batch one goes on, as known to repeat; its span and the others' are told.
+    """
+    most = _shape(length)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lo, hi, at, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 3, 5))
+            texts = batch.column(6).to_pylist()
+            data, first, _ = _joined(texts)
+            low, high = (at - hi) // size, (at - lo) // size
+            row = np.repeat(np.arange(len(key)), high - low + 1)
+            block = low[row] + ragged(high - low + 1)
+            o1 = block * size
+            b_lo, b_hi = np.maximum(lo[row], at[row] - o1 - size + 1), np.minimum(hi[row], at[row] - o1)
+            base = first[row] - lo[row]
+            pre, other = prefix(data, _CODES[0]), prefix(data, _CODES[1], 1)
+            x, y = base + at[row] - o1, base + at[row] - np.minimum(o1 + size, most) + 1 + length
+            part = mix(spans_hash(pre, x, y) + o1.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(size))
+            x, y = base + b_lo, base + b_hi + length
+            whole = mix(spans_hash(other, x, y, 1) + (at[row] - b_lo).astype(U64) * U64(1_000_003) + (at[row] - b_hi).astype(U64))
+            order = np.lexsort((~many[row], whole, part))  # of equal ones one already told comes first
+            new = np.concatenate(([True], (part[order][1:] != part[order][:-1]) | (whole[order][1:] != whole[order][:-1])))
+            at_new = np.flatnonzero(new)
+            count = np.diff(np.concatenate((at_new, [len(order)])))
+            repeats = np.repeat(count > 1, count) | np.repeat(many[row][order][at_new], count)
+            tell = order[repeats & ~many[row][order]]
+            if len(tell):
+                yield _around(0, key[row[tell]], b_lo[tell], b_hi[tell], at[row[tell]], None, None, None)
+            go = order[at_new]
+            yield _around(1, key[row[go]], b_lo[go], b_hi[go], at[row[go]], signed(part[go]), repeats[at_new], [data[a:b].tobytes() for a, b in zip(x[go].tolist(), y[go].tolist(), strict=True)])
+
+    return run
 
 
 def _remove(length: int, texts: bool):
@@ -327,22 +356,45 @@ def _remove(length: int, texts: bool):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, texts: bool = False) -> DataFrame:
     """Of each document its size, the bytes that repeated windows of `length` bytes cover, and the digest of the rest.
 
-    docs: doc_id (unique), text; other columns are ignored. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256
-    and with texts=True the remaining bytes as `kept`. A null text counts as empty; a text shorter than `length`
-    keeps all its bytes; copies, also within a document, all lose what repeats (there is no first one that stays).
-    A null doc_id is a document of its own that repeats are found in like in others, but that is not returned.
+    docs: doc_id, text; other columns are ignored. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and with
+    texts=True the remaining bytes as `kept`, a row for every row of docs. A null text counts as empty; a text shorter
+    than `length` keeps all its bytes; copies, also within a document, all lose what repeats (there is no first one
+    that stays). Rows with a null doc_id, or with one that other rows have too, are documents like others: equal rows
+    lose what they share.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = docs.mapInArrow(_anchor_rows(length), _ANCHORS)
+    rows = unique_rows(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "gram").sortWithinPartitions("gram", "context").mapInArrow(_split_anchors(length), _FOUND)
+    anchored = written(rows.select("key", "text").mapInArrow(_anchor_rows(length), _ANCHORS), "substring-anchors")
+    frequent = hot_keys(anchored.where("seen > 0").groupBy("gram").agg(F.sum("seen").alias("n")), ["gram"], group)
+    kept = anchored.drop("seen")
+    rare = kept if frequent is None else kept.join(F.broadcast(frequent), "gram", "left_anti").select(*kept.columns)
+    found = rare.repartition(parts, "gram").sortWithinPartitions("gram", "context").mapInArrow(_split_anchors(length), _FOUND)
+    if frequent is not None:  # buckets that no task may hold: all their contexts go on, those known to repeat are told
+        crowd = kept.join(F.broadcast(frequent), "gram", "left_semi").select("key", "lo", "hi", "at", "gram", "many")
+        for kind, which in ((1, crowd), (0, crowd.where("many"))):
+            found = found.unionByName(which.withColumn("kind", F.lit(kind).cast("byte")))
     found = written(found, "substring-found")
-    open_ = found.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "at", "gram", "many")).alias("items"))
-    around = docs.join(open_, "doc_id").select("doc_id", "text", "items").mapInArrow(_contexts(length), "doc_id long, lo int, hi int, at int, gram long, many boolean, bytes binary")
-    compared = written(around.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_windows(length, group), _WINDOWS), "substring-windows")
-    single = compared.where("kind = 1")
-    repeated = single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    spans = found.where("kind = 0").select("doc_id", "lo", "hi").unionByName(compared.where("kind = 0").select("doc_id", "lo", "hi")).unionByName(single.where("not many").join(repeated, "window", "left_semi").select("doc_id", "lo", "hi"))
-    merged = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    discarded(anchored)
+    open_ = found.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at", "gram", "many")).alias("items"))
+    state = written(rows.select("key", "text").join(open_, "key").select("key", "text", "items").mapInArrow(_contexts(length), _AROUND), "substring-around")
+    spans = found.where("kind = 0").select("key", "lo", "hi")
+    columns = ["key", "lo", "hi", "at", "part", "many", "bytes"]
+    for size in BLOCKS:
+        open_ = state.where("kind = 1").select(*columns)
+        crowded = hot_keys(open_.groupBy("part").agg(F.count("*").alias("n")), ["part"], group)
+        few = open_ if crowded is None else open_.join(F.broadcast(crowded), "part", "left_anti").select(*columns)
+        told = few.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_windows(length), _AROUND)
+        told = written(told.select("key", "lo", "hi"), "substring-windows")
+        spans = spans.unionByName(told)
+        if crowded is None:
+            discarded(state)
+            break
+        state = written(open_.join(F.broadcast(crowded), "part", "left_semi").select(*columns).mapInArrow(_blocks(length, size), _AROUND), "substring-blocks")
+        spans = spans.unionByName(state.where("kind = 0").select("key", "lo", "hi"))
+    else:  # parts are full windows now: a part of several rows repeats, however many
+        last = state.where("kind = 1 and not many").select("key", "lo", "hi", "part", "bytes")
+        repeated = state.where("kind = 1").groupBy("part", "bytes").agg(F.count("*").alias("n")).where("n > 1").select("part", "bytes")
+        spans = spans.unionByName(spread_join(last, repeated, ["part", "bytes"], "left_semi").select("key", "lo", "hi"))
+    merged = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    return docs.join(merged, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove(length, texts), out)
+    return rows.join(merged, "key", "left").select("doc_id", "text", "spans").mapInArrow(_remove(length, texts), out)

@@ -76,3 +76,31 @@ def test_groups_that_end_as_their_rows_are_passed_on(spark):
     for n in (5, 10):
         rows = [(d, word() + common + word(), "") for d in range(n)]
         assert found(spark, rows, 40, group=4) == brute(rows, 40)
+
+
+def test_crowded_parts_that_share_only_some_windows(spark):
+    rng = random.Random(7)
+    text = lambda n, letters="xyz ": "".join(rng.choice(letters) for _ in range(n))
+    common = text(120)
+    rows = [(d, text(30, "abcdef") + common[rng.randint(0, 40) : rng.randint(60, 120)] + text(30, "abcdef"), "") for d in range(80)]
+    rows += [(100 + d, rows[d % 7][1], "") for d in range(20)]
+    for n in (40, 25):
+        assert found(spark, rows, n, group=2) == brute(rows, n) == found(spark, rows, n)
+
+
+def test_repeated_and_null_ids_are_documents_of_their_own(spark):
+    a, b = "one passage that stands in several texts, ", "a text of its own, with no part anywhere else"
+    given = [(1, a + b), (1, a), (1, a), (None, "x" + a), (None, None), (2, b[:30])]
+    want = brute([(i, t) for i, (_, t) in enumerate(given)], 40)
+    df = spark.createDataFrame([(d, t, "") for d, t in given], SCHEMA).repartition(3)
+    got = sorted((str(r[0]), *r[1:5]) for r in remove_repeats(df, 40).collect())
+    assert got == sorted((str(given[i][0]), *w) for i, w in want.items())
+
+
+def test_long_texts_and_many_equal_rows(spark):
+    rng = random.Random(8)
+    long = " ".join(str(rng.randint(0, 99)) for _ in range(60_000))
+    rows = [(0, long, ""), (1, long[50_000:], ""), *((2 + d, "the same short text in a third of all rows, word for word", "") for d in range(300))]
+    got = found(spark, rows, 50)
+    assert got[0][0] == len(long) and got[0][1] >= len(long) - 50_000 and got[1][1] == got[1][0]
+    assert all(got[2 + d][1] == got[2 + d][0] for d in range(300))
