@@ -370,13 +370,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, te
     rare = kept if frequent is None else kept.join(F.broadcast(frequent), "gram", "left_anti").select(*kept.columns)
     found = rare.repartition(parts, "gram").sortWithinPartitions("gram", "context").mapInArrow(_split_anchors(length), _FOUND)
     if frequent is not None:  # buckets that no task may hold: all their contexts go on, those known to repeat are told
-        crowd = kept.join(F.broadcast(frequent), "gram", "left_semi").select("key", "lo", "hi", "at", "gram", "many")
-        for kind, which in ((1, crowd), (0, crowd.where("many"))):
-            found = found.unionByName(which.withColumn("kind", F.lit(kind).cast("byte")))
+        crowd = kept.join(F.broadcast(frequent), "gram", "left_semi")
+        kinds = F.when(F.col("many"), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1))).cast("array<byte>")
+        found = found.unionByName(crowd.select(F.explode(kinds).alias("kind"), "key", "lo", "hi", "at", "gram", "many"))
     found = written(found, "substring-found")
     discarded(anchored)
     open_ = found.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at", "gram", "many")).alias("items"))
-    state = written(rows.select("key", "text").join(open_, "key").select("key", "text", "items").mapInArrow(_contexts(length), _AROUND), "substring-around")
+    around = state = written(rows.select("key", "text").join(open_, "key").select("key", "text", "items").mapInArrow(_contexts(length), _AROUND), "substring-around")
     spans = found.where("kind = 0").select("key", "lo", "hi")
     columns = ["key", "lo", "hi", "at", "part", "many", "bytes"]
     for size in BLOCKS:
@@ -387,7 +387,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, te
         told = written(told.select("key", "lo", "hi"), "substring-windows")
         spans = spans.unionByName(told)
         if crowded is None:
-            discarded(state)
             break
         state = written(open_.join(F.broadcast(crowded), "part", "left_semi").select(*columns).mapInArrow(_blocks(length, size), _AROUND), "substring-blocks")
         spans = spans.unionByName(state.where("kind = 0").select("key", "lo", "hi"))
@@ -395,6 +394,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP, te
         last = state.where("kind = 1 and not many").select("key", "lo", "hi", "part", "bytes")
         repeated = state.where("kind = 1").groupBy("part", "bytes").agg(F.count("*").alias("n")).where("n > 1").select("part", "bytes")
         spans = spans.unionByName(spread_join(last, repeated, ["part", "bytes"], "left_semi").select("key", "lo", "hi"))
+    discarded(around)
     merged = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
     return rows.join(merged, "key", "left").select("doc_id", "text", "spans").mapInArrow(_remove(length, texts), out)
