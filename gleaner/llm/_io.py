@@ -77,14 +77,17 @@ def hot_keys(counts: DataFrame, on: list[str], least: int) -> DataFrame | None:
     return counts.where(F.col("n") > least).select(*on) if found else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", least: int = 10_000) -> DataFrame:
-    """left joined to right on keys that any number of left rows may have; both sides are read twice.
+#: Rows of one key that a join may bring to one task, unless that made more than 100,000 keys frequent.
+FREQUENT = 10_000
 
-    Rows of a key that over `least` rows of left have are dealt over so many buckets of about that size by their own
-    hash, and right's rows of that key go to each of them. Frequent keys are at most MOST_HOT, so their table is broadcast.
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right on keys that any number of left rows may have; left is read twice.
+
+    Rows of a key that more than FREQUENT rows of left have are dealt over buckets of about that size by their own hash,
+    and right's rows of that key go to each of them. There are at most 100,000 such keys, so their table is broadcast.
     """
-    n = left.count()
-    least = max(least, n // 100_000)
+    least = max(FREQUENT, left.count() // 100_000)
     hot = left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*on, F.ceil(F.col("_n") / least).cast("int").alias("_parts"))
     hot = written(hot, "hot-keys")
     if hot.isEmpty():

@@ -2,7 +2,8 @@
 
 An item's windows are its runs of 13 words. Every window keeps one fingerprint: the least of the hashes of its 5-word
 grams. A document's windows are fingerprinted the same way, so a span of 13 shared words always gives a shared
-fingerprint. Fingerprints are joined, and each hit is extended to the full windows around it and compared in full.
+fingerprint. Fingerprints are joined, and each hit is extended to the full windows around it, whose words are compared
+by a 64-bit hash of all of them.
 
 A benchmark of up to `most_bytes` of text (checked before) is an index of bounded size that every task holds; the join
 is a lookup while the documents stream by, without a shuffle. A larger one is joined as tables, and only documents
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm._io import spread_join
 from gleaner.llm._text import _WORD_MULT, ALNUM_WORDS, U64, Words, mix, signed, slices, window_min
 
 WINDOW, GRAM = 13, 5
@@ -87,8 +89,9 @@ def _within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[i] == values, i, -1)
 
 
-def measure(words: Words, index: Index, n: int) -> tuple[np.ndarray, list[set[int]], np.ndarray]:
-    """Of n texts: words within a window's occurrences, and the items whose windows occur; and of each word if it is within."""
+def measure(words: Words, index: Index, n: int) -> tuple[np.ndarray, list[set[int]], np.ndarray, np.ndarray]:
+    """Of n texts: words within a window's occurrences, the items whose windows occur, if a full window does; and of each word if it is within."""
+    full = np.zeros(n, bool)
     cover = np.zeros(len(words.hash) + 1, np.int64)
     items: list[set[int]] = [set() for _ in range(n)]
 
@@ -98,6 +101,7 @@ def measure(words: Words, index: Index, n: int) -> tuple[np.ndarray, list[set[in
             cover[a] += 1
             cover[a + m] -= 1
             items[words.text[a]].update(index.items[m][w])
+            full[words.text[a]] |= m == WINDOW
 
     at, least = _prints(words)
     near = index.table[(least & U64(_BITS - 1)).astype(np.int64)]
@@ -108,7 +112,7 @@ def measure(words: Words, index: Index, n: int) -> tuple[np.ndarray, list[set[in
             n_at = len(words.hash) - m + 1
             extend(np.flatnonzero(words.text[:n_at] == words.text[m - 1 :]), m)
     inside = np.cumsum(cover[:-1]) > 0
-    return np.bincount(words.text[inside], minlength=n), items, inside
+    return np.bincount(words.text[inside], minlength=n), items, full, inside
 
 
 def _left(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: Words, inside: np.ndarray) -> list[str | None]:
@@ -131,9 +135,10 @@ def _columns(counts: list[int], hits: list[int], items: list[set[int]]) -> list[
     return [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_())]
 
 
-def _measured(row: pa.Array, counts: list[int], hits: list[int], items: list[set[int]], left: list[str | None]) -> pa.RecordBatch:
+def _measured(row: pa.Array, counts: list[int], hits: list[int], items: list[set[int]], full: list[bool], left: list[str | None]) -> pa.RecordBatch:
     left = left or [None] * len(counts)
-    return pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(_columns(counts, hits, items), _NAMES), pa.array(left, pa.string())], ["row", "leak", "left"])
+    leak = pa.StructArray.from_arrays(_columns(counts, hits, items), _NAMES)
+    return pa.RecordBatch.from_arrays([row, leak, pa.array(full, pa.bool_()), pa.array(left, pa.string())], ["row", "leak", "full", "left"])
 
 
 def _lookup(index, texts: bool):
@@ -141,15 +146,16 @@ def _lookup(index, texts: bool):
         found = index.value
         for batch in batches:
             row = batch.column(0)
-            counts, hits, items, left = [], [], [], []
+            counts, hits, items, full, left = [], [], [], [], []
             for i, j, data, starts, ends in slices(row.field("text")):
                 words = Words(data, starts, ends, ALNUM_WORDS)
-                h, x, inside = measure(words, found, j - i)
+                h, x, f, inside = measure(words, found, j - i)
                 counts += words.count.tolist()
                 hits += h.tolist()
+                full += f.tolist()
                 items += x
                 left += _left(data, starts, ends, words, inside) if texts else ()
-            yield _measured(row, counts, hits, items, left)
+            yield _measured(row, counts, hits, items, full, left)
 
     return run
 
@@ -163,21 +169,23 @@ def _own_items(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, shared = batch.column(0), batch.column(1).to_pylist()
-            counts, hits, items, left = [], [], [], []
+            counts, hits, items, full, left = [], [], [], [], []
             for i, text in enumerate(row.field("text").to_pylist()):
                 alone = _alone(text)
                 words = Words(*alone, ALNUM_WORDS)
                 counts.append(int(words.count[0]))
                 if shared[i]:
-                    h, x, inside = measure(words, build([s["item_id"] for s in shared[i]], [s["item"] for s in shared[i]]), 1)
+                    h, x, f, inside = measure(words, build([s["item_id"] for s in shared[i]], [s["item"] for s in shared[i]]), 1)
                     hits.append(int(h[0]))
+                    full.append(bool(f[0]))
                     items += x
                     left += _left(*alone, words, inside) if texts else [None]
                 else:
                     hits.append(0)
+                    full.append(False)
                     items.append(set())
                     left.append(None)
-            yield _measured(row, counts, hits, items, left)
+            yield _measured(row, counts, hits, items, full, left)
 
     return run
 
@@ -223,18 +231,20 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES, texts: bool = False) -> DataFrame:
-    """(row struct of all columns of docs, leak struct of MEASURES, left) for every row of docs.
+    """(row struct of all columns of docs, leak struct of MEASURES, full, left) for every row of docs.
 
-    With `texts`, `left` is a hit text without its hit words; else, and for texts without a hit, it is null.
+    `full` tells whether a window of 13 words occurs. With `texts`, `left` is a hit text without its hit words; else,
+    and for texts without a hit, it is null.
 
     docs: doc_id, text; benchmark: item_id, text. Null texts and texts without words have no words and no windows;
-    items with a null id take no part; repeated items count once. A text is contaminated when it has a hit and a
-    twentieth or more of its words are hit.
+    items with a null id take no part; repeated items count once. Rows with a null or repeated doc_id are measured like
+    others, each by its own text. A text is contaminated when it has a hit and a twentieth or more of its words are hit.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).where("item_id is not null and item is not null")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = T.StructType([*rows.schema.fields, T.StructField("leak", T._parse_datatype_string(MEASURES)), T.StructField("left", T.StringType())])
+    more = [T.StructField("leak", T._parse_datatype_string(MEASURES)), T.StructField("full", T.BooleanType()), T.StructField("left", T.StringType())]
+    out = T.StructType([*rows.schema.fields, *more])
     size = items.agg(F.sum(F.octet_length("item") + 16)).first()[0] or 0
     if size <= most_bytes:
         found = items.collect()  # of a size just checked
@@ -242,10 +252,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES, t
         return rows.mapInArrow(_lookup(index, texts), out)
     prints = items.mapInArrow(_item_rows, "item_id long, m int, h long").distinct()
     lengths = [r.m for r in prints.where(f"m < {WINDOW}").select("m").distinct().collect()]  # twelve at most
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    pairs = given.mapInArrow(_print_rows(lengths), "doc_id long, m int, h long").join(prints, ["m", "h"]).select("doc_id", "item_id").distinct()
-    shared = pairs.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
-    met = rows.join(shared, F.col("row.doc_id").cast("long") == shared.doc_id, "left").select("row", "items")
+    # a text by its own hash and id: equal ids may have several texts, and a third of all rows one text
+    key = lambda d, t: F.xxhash64(d.cast("long"), t.cast("string"))
+    given = docs.select(key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    printed = given.mapInArrow(_print_rows(lengths), "key long, m int, h long")
+    pairs = spread_join(printed, prints, ["m", "h"]).select("key", "item_id").distinct()
+    shared = spread_join(pairs, items, ["item_id"]).groupBy("key").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    met = rows.join(shared, key(F.col("row.doc_id"), F.col("row.text")) == shared.key, "left").select("row", "items")
     return met.mapInArrow(_own_items(texts), out)
 
 
@@ -254,12 +267,14 @@ def leak_measures(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_
     return leaks(docs.select("doc_id", "text"), benchmark, most_bytes).select(F.col("row.doc_id").cast("long").alias("doc_id"), "leak.*")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES, whole: bool = False) -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated, and of those the texts without their hit words.
 
-    n_chars, where there is one, becomes the new length of a text that lost words.
+    With `whole`, rows in which a full window of 13 words occurs go too, however long their texts are. n_chars, where
+    there is one, becomes the new length of a text that lost words. Rows with a null text stay; rows with a null or
+    repeated doc_id are judged each by its own text.
     """
-    found = leaks(docs, benchmark, most_bytes, texts=True).where("not leak.contaminated")
+    found = leaks(docs, benchmark, most_bytes, texts=True).where("not leak.contaminated and not full" if whole else "not leak.contaminated")
 
     def column(c: str) -> Column:
         kept = F.col(f"row.`{c}`")

@@ -89,3 +89,24 @@ def test_long_documents_lose_the_passages_they_hold(spark):
         assert {d: t for d, (t, _) in got.items()} == want
         assert all(n == (7 if t is None else len(t)) for t, n in got.values())
         assert all(r.n_hit == 0 for r in leak_measures(left, items).collect())
+
+
+def test_whole_documents_go_that_hold_a_full_window(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(9)) for _ in range(n))
+    passage, short, long = text(40), text(6), text(2000)
+    rows = [(1, f"{long} {passage}", 0), (1, long, 0), (2, f"{long} {' '.join(passage.split()[3:15])}", 0), (3, f"{long}\n{short}. End", 0), (None, f"{passage} {long}", 0), (None, None, 0), (4, long, 0), (4, long, 0)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string, leak int"), spark.createDataFrame([(1, passage, 0), (2, short, 0)], ITEMS)
+    want = sorted([(1, long, 0), rows[2], (3, f"{long}\n…. End", 0), (None, None, 0), (4, long, 0), (4, long, 0)], key=repr)
+    for most in (1 << 20, 0):
+        assert sorted(map(tuple, without_leaks(docs, items, most, whole=True).collect()), key=repr) == want
+
+
+def test_a_word_of_all_documents_on_the_joined_path(spark, monkeypatch):
+    from gleaner.llm import _io
+
+    monkeypatch.setattr(_io, "FREQUENT", 5)
+    docs = [(d, f"same start w{d} x{d}", "") for d in range(60)]
+    items = [(1, "same", 0), (2, "w7 x7", 0)]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    assert sorted(map(tuple, leak_measures(d, b, 0).collect()), key=repr) == brute(docs, items)
