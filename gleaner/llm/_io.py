@@ -46,15 +46,21 @@ def discarded(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def unique_rows(docs: DataFrame, whole: bool = False) -> DataFrame:
+def own_ids(docs: DataFrame) -> bool:
+    """Whether doc_id is never null and another one in each row."""
+    return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def unique_rows(docs: DataFrame, whole: bool = False, own: bool | None = None) -> DataFrame:
     """key (long, never null, its own for each row, ordered as doc_id), doc_id, text and with `whole` all columns as struct `row`.
 
-    Where doc_id tells all rows apart it is the key. Else rows are numbered in the order of doc_id (nulls last), text
-    hash, and written, so that a number stays what it is; equal rows and a doc_id of many rows are split like others.
+    Where doc_id tells all rows apart (own_ids(), asked here unless given) it is the key. Else rows are numbered in the
+    order of doc_id (nulls last), text hash, and written, so that a number stays what it is; equal rows and a doc_id of
+    many rows are split like others.
     """
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
-    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+    if own_ids(docs) if own is None else own:
         return rows.withColumn("key", F.col("doc_id"))
     ordered = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id())
     return written(ordered.withColumn("key", F.monotonically_increasing_id()), "numbered-rows")
@@ -81,21 +87,32 @@ def hot_keys(counts: DataFrame, on: list[str], least: int) -> DataFrame | None:
 FREQUENT = 10_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """left joined to right on keys that any number of left rows may have; left is read twice.
+def frequent(left: DataFrame, on: list[str], rows: int | None = None) -> DataFrame | None:
+    """Keys `on` that more than FREQUENT rows of left have, with the buckets (_parts) to deal them to; None for none.
 
-    Rows of a key that more than FREQUENT rows of left have are dealt over buckets of about that size by their own hash,
-    and right's rows of that key go to each of them. There are at most 100,000 such keys, so their table is broadcast.
+    At most 100,000 keys, as the bound grows with left (`rows`, counted unless given).
     """
-    least = max(FREQUENT, left.count() // 100_000)
-    hot = left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*on, F.ceil(F.col("_n") / least).cast("int").alias("_parts"))
-    hot = written(hot, "hot-keys")
-    if hot.isEmpty():
-        return left.join(right.hint("merge"), on, how)
+    least = max(FREQUENT, (left.count() if rows is None else rows) // 100_000)
+    if rows is not None and rows <= least:
+        return None
+    found = left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*on, F.ceil(F.col("_n") / least).cast("int").alias("_parts"))
+    found = written(found, "frequent-keys")
+    return None if found.isEmpty() else found
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined to right; rows of left with a key of `hot` are dealt over its buckets by their hash, right's go to each."""
+    if hot is None:
+        return left.join(right, on, how)
     salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     copies = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right on keys that any number of left rows may have; left is read more than once."""
+    return dealt_join(left, right, on, frequent(left, on), how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

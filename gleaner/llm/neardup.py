@@ -7,9 +7,9 @@ The ranks that a shingle adds to all coordinates are then one contiguous stretch
 Documents with equal shingle sets are one class before anything is compared. Candidates are classes that share a band.
 Within a bucket each member is first compared with the least member alone; most buckets are then one component. The
 others' members form groups that are connected by shared buckets. In each group the members outside its largest
-component are compared, in blocks of bounded size, with the members of other components: a sketch of the signature
-screens, the full sets decide, and a block returns only links that join two components it had not joined yet. So no
-bucket is ever expanded into pairs of rows, and no pair that could still join two components is left out.
+component are compared, in blocks of bounded size, with the members of other components: sketches of the signatures
+screen out pairs whose estimate is five standard errors under the threshold, the full sets decide, and a block returns
+only links that join two components it had not joined yet. So no bucket is ever expanded into pairs of rows.
 """
 
 from __future__ import annotations
@@ -18,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm import _io
 from gleaner.llm._graph import components
-from gleaner.llm._io import written
+from gleaner.llm._io import dealt_join, own_ids, spread_join, unique_rows, written
 from gleaner.llm._text import SPACE_WORDS, U64, Words, mix, signed, slices
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 UNIVERSE = 1 << 20
-#: Members, and members outside the largest component, that are compared at once.
-BLOCK = 256
+#: Bytes of members, and of members outside the largest component, that are compared at once.
+BLOCK = 8 << 20
 #: The screen passes estimates down to this much under the threshold: five standard errors of 160 coordinates.
 SLACK = 0.15
 
@@ -77,7 +78,7 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     g = np.zeros(1, U64)
     for h in hashes:
         g = g * U64(0x9FB21C651E98DF25) + h
-    return mix(g + U64(len(hashes)) * U64(0xA0761D6478BD642F))
+    return mix(g + np.array([len(hashes)], U64) * U64(0xA0761D6478BD642F))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +99,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(signed(bands.ravel())))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), pa.array(size), pa.array(signed(s1)), pa.array(signed(s2)), lists, pa.array([x.tobytes() for x in sketch], pa.binary())],
-            ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"],
+            ["key", "n_shingles", "s1", "s2", "bands", "sketch"],
         )
 
 
@@ -180,64 +181,97 @@ def _joining(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
-    """Each document's component of documents linked by a Jaccard similarity of shingle sets of percent/100 or more.
-
-    docs: doc_id (unique), text; other columns are ignored. Returns doc_id, n_shingles, component_id (the least doc_id
-    reachable), kept (doc_id = component_id). Null or blank texts have no shingles and are linked with nothing;
-    texts under five words are one shingle. Rows with a null doc_id are left out.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
-    signed_docs = written(docs.mapInArrow(_signatures, schema), "neardup-signatures")
-    classes = (
-        signed_docs.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    )
+def _components(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """rows: key (unique), text. Returns key, n_shingles, component: the least key reachable."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "key long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
+    sketched = written(rows.select("key", "text").mapInArrow(_signatures, schema), "neardup-signatures")
+    classes = sketched.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "neardup-classes")
 
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    members = written(banded.join(buckets, ["band", "key"]).select("band", "key", "leader", "rep"), "neardup-members")
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    buckets = written(banded.groupBy("band", "bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1"), "neardup-buckets")
+    place = ["band", "bucket"]
+    most = max(_io.FREQUENT, (buckets.agg(F.sum("m")).first()[0] or 0) // 100_000)
+    crowded = buckets.where(F.col("m") > most).select(*place, F.ceil(F.col("m") / most).cast("int").alias("_parts"))
+    crowded = None if crowded.isEmpty() else crowded
+    members = written(dealt_join(banded, buckets, place, crowded).select(*place, "leader", "rep"), "neardup-members")
     # texts of all that share a bucket, moved once; a plan that does not turn into another one as the corpus grows
-    texts = written(docs.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "neardup-texts")
-    tried = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    texts = written(rows.select("key", "text").join(members.select(F.col("rep").alias("key")).distinct().hint("merge"), "key", "left_semi"), "neardup-texts")
+    tried = written(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "neardup-tried")
     links = verified(tried, texts, percent)
     label = components(links)
 
     # what leaders alone have not settled
-    placed = written(members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "leader", "rep", F.coalesce("component", "rep").alias("comp")), "neardup-placed")
-    open_buckets = placed.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
-    open_ = written(placed.join(open_buckets, ["band", "key"], "left_semi").select("leader", "rep", "comp").distinct(), "neardup-open")
+    placed = written(members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(*place, "leader", "rep", F.coalesce("component", "rep").alias("comp")), "neardup-placed")
+    open_buckets = placed.groupBy(*place).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(*place)
+    open_ = written(dealt_join(placed, open_buckets, place, crowded, "left_semi").select("leader", "rep", "comp").distinct(), "neardup-open")
     groups = components(open_.select(F.col("leader").alias("a"), F.col("rep").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("group"))
-    grouped = open_.select("rep", "comp").distinct().join(groups, "rep")
-    counts = grouped.groupBy("group", "comp").agg(F.count("*").alias("n"))
+    grouped = open_.select("rep", "comp").distinct().join(groups, "rep").join(texts.select(F.col("key").alias("rep"), F.octet_length("text").alias("bytes")), "rep")
+    grouped = written(grouped, "neardup-grouped")
+    counts = grouped.groupBy("group", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     split = (
-        counts.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"))
-        .select("group", F.col("top.comp").alias("main"), F.ceil((F.col("m") - F.col("top.n")) / block).cast("int").alias("outers"), F.ceil(F.col("m") / block).cast("int").alias("inners"))
+        counts.groupBy("group").agg(F.max(F.struct("bytes", "n", "comp")).alias("top"), F.sum("n").alias("m"), F.sum("bytes").alias("all"))
+        .select("group", F.col("top.comp").alias("main"), _shares(F.col("m") - F.col("top.n"), F.col("all") - F.col("top.bytes"), block).alias("outers"), _shares(F.col("m"), F.col("all"), block).alias("inners"))
     )
-    rows = grouped.join(split, "group").join(classes.select("rep", "n_shingles", "sketch"), "rep").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    placed = spread_join(grouped, split, ["group"])
+    rows_ = placed.join(classes.select("rep", "n_shingles", "sketch"), "rep").join(texts.select(F.col("key").alias("rep"), "text"), "rep")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rest = ["rep", "comp", "n_shingles"]
-    inside = rows.select("group", own("inners").alias("inner_block"), spread("outers").alias("outer_block"), *rest, F.lit(False).alias("is_outer"), "sketch", "text")
-    outside = rows.where("comp <> main").select("group", spread("inners").alias("inner_block"), own("outers").alias("outer_block"), *rest, F.lit(True).alias("is_outer"), "sketch", "text")
+    inside = rows_.where("outers > 0").select("group", own("inners").alias("inner_block"), spread("outers").alias("outer_block"), *rest, F.lit(False).alias("is_outer"), "sketch", "text")
+    outside = rows_.where("comp <> main").select("group", spread("inners").alias("inner_block"), own("outers").alias("outer_block"), *rest, F.lit(True).alias("is_outer"), "sketch", "text")
     keys = ["group", "inner_block", "outer_block"]
     more = written(inside.unionByName(outside).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_joining(percent), "a long, b long"), "neardup-links")
 
     of = label.withColumnRenamed("id", "node")
-
     merged = more.join(of.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("component", "a").alias("a"), "b")
     merged = merged.join(of.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
     top = components(merged).select(F.col("id").alias("component"), F.col("component").alias("final"))
     reps = classes.select("rep", "s1", "s2", "n_shingles").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    reps = reps.join(top, "component", "left").select("s1", "s2", "n_shingles", F.coalesce("final", "component").alias("component_id"))
-    out = signed_docs.select("doc_id", "n_shingles", "s1", "s2").join(reps, ["s1", "s2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    reps = spread_join(written(reps, "neardup-reps"), top, ["component"], "left").select("s1", "s2", "n_shingles", F.coalesce("final", "component").alias("final"))
+    out = spread_join(sketched.select("key", "n_shingles", "s1", "s2"), reps, ["s1", "s2", "n_shingles"], "left")
+    return out.select("key", "n_shingles", F.coalesce("final", "key").alias("component"))
+
+
+def _shares(n: Column, size: Column, block: int) -> Column:
+    """Blocks of about `block` bytes that n members of `size` bytes are dealt to, one member in each at the least."""
+    return F.least(n, F.ceil(size / block)).cast("int")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """Each document's component of documents linked by a Jaccard similarity of shingle sets of percent/100 or more.
+
+    docs: doc_id, text; other columns are ignored. Returns doc_id, n_shingles, component_id (the least doc_id reachable),
+    kept (doc_id = component_id), a row for every row of docs. Null or blank texts have no shingles and are linked with
+    nothing; texts under five words are one shingle. Rows with the same doc_id are documents like others: equal texts
+    are in one component, others need not be. A null doc_id comes after all others; of a component of null ids alone
+    the id is null and one row is kept.
+    """
+    own = own_ids(docs)
+    rows = unique_rows(docs, own=own)
+    found = _components(rows, percent, block)
+    if own:
+        out = found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+        return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    found = found.join(rows.select("key", "doc_id"), "key")
+    found = spread_join(written(found, "neardup-found"), rows.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id")), ["component"])
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("key") == F.col("component"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, with all their columns: of each component of near_duplicates() the first one alone.
+
+    The first one has the least doc_id, nulls last; of rows with the same doc_id one stays if their texts are linked, and
+    all do if they are not. Rows without shingles all stay.
+    """
+    rows = unique_rows(docs, whole=True)
+    gone = _components(rows, percent, block).where("key <> component").select("key")
+    return rows.join(gone.hint("merge"), "key", "left_anti").select("row.*")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of (a, b) whose full sets meet the threshold."""
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    rows = spread_join(pairs, texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), ["a"]).join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     return written(rows.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "neardup-links")

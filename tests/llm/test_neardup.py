@@ -1,7 +1,8 @@
 import random
 import re
 
-from gleaner.llm.neardup import near_duplicates
+from gleaner.llm import _graph, _io
+from gleaner.llm.neardup import near_duplicates, without_near_duplicates
 
 SCHEMA = "doc_id long, text string, kept string"
 
@@ -57,3 +58,31 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_frequent_keys_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(_io, "FREQUENT", 4)
+    rows = corpus(6)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 85)
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == brute(rows, 85)
+
+
+def test_components_of_a_node_with_many_links(spark, monkeypatch):
+    monkeypatch.setattr(_io, "FREQUENT", 3)
+    pairs = [(50, i) for i in range(100) if i % 3] + [(200 + i, 201 + i) for i in range(30)] + [(50, 999), (7, 7), (50, 1)]
+    got = dict(map(tuple, _graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert got == {i: 1 for i in [*range(1, 100), 999] if i % 3 or i == 999} | {i: 200 for i in range(200, 231)}
+
+
+def test_repeated_and_null_ids_and_long_texts(spark):
+    rng = random.Random(4)
+    a, b = "one two three four five six seven", "other words stand in this text here"
+    long = " ".join(str(rng.randint(0, 9999)) for _ in range(40_000))
+    rows = [(1, a, ""), (1, a, ""), (1, b, ""), (None, b, ""), (None, b, ""), (2, a, ""), (3, None, ""), (3, None, ""), (4, long, ""), (5, long + " end", ""), (None, "all alone are these five words", ""), (None, "All alone are these five words", "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(((str(r[0]), r[2], r[3]) for r in near_duplicates(df).collect()), key=str)
+    assert [x for x in got if x[0] in "12345"] == [("1", 1, True), ("1", 1, True), ("1", 1, True), ("2", 1, False), ("3", 3, True), ("3", 3, True), ("4", 4, True), ("5", 4, False)]
+    assert sorted(str(x[1:]) for x in got if x[0] == "None") == ["(1, False)", "(1, False)", "(None, False)", "(None, True)"]
+    left = without_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted((str(r[0]), str(r[1])[:9].lower()) for r in left.collect()) == sorted([("1", a[:9]), ("1", b[:9]), ("3", "none"), ("3", "none"), ("4", long[:9]), ("None", "all alone")])
