@@ -54,7 +54,7 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the multiplier and of its inverse, modulo 2**64."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = max(2 * SLICE_BYTES, n)
+        size = 1 << max(18, int(n - 1).bit_length())
         inverse = pow(_MULT[which], -1, 1 << 64)
         tables = []
         for base in (_MULT[which], inverse):

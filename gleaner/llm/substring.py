@@ -35,7 +35,9 @@ LENGTH = 200
 #: Bytes of the first digit.
 GRAM = 64
 #: Distinct contexts of one bucket that a task splits by window itself.
-GROUP = 4096
+GROUP = 1024
+#: Bytes of text that anchors are found in at once; longer texts are taken whole.
+SLICE = 1 << 18
 #: Occurrences of a k-gram in one batch that are counted towards the frequent ones.
 SEEN = 8
 #: Offsets of a bucket's blocks in each further pass.
@@ -110,11 +112,11 @@ def _anchor_rows(length: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             held: list[tuple[np.ndarray, ...]] = []
             count = 0
-            for i, _, data, starts, ends in slices(batch.column(1)):
+            for i, _, data, starts, ends in slices(batch.column(1), SLICE):
                 t, *rest = anchors(data, starts, ends, length)
                 held.append((t + i, *rest))
                 count += len(t)
-                if count > 400_000:
+                if count > 200_000:
                     yield from _combined(ids, held, length)
                     held, count = [], 0
             if held:
@@ -258,7 +260,7 @@ def _windows(length: int):
         def close() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1 and not all(r[4] for r in rows):
                 pending.extend(rows)
-                if len(pending) > 2000:
+                if len(pending) > GROUP:
                     yield from compared(pending)
                     pending.clear()
             rows.clear()
