@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.functions.prose import token_count
 from gleaner.functions.values import flag, stripped
 
 # Configuration columns, markers and words that mean nothing, and default aspects.
@@ -21,11 +23,18 @@ SCENARIO_LITERAL = "Literal:scenarios"
 _SIMPLE = {"str": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType(), "dict": T.MapType(T.StringType(), T.StringType()), "list": T.ArrayType(T.StringType())}
 
 
-def parsed_type(text: str) -> T.DataType:
+def parsed_type(text: str, strict: bool = True) -> T.DataType:
     """The type that a declaration such as `Optional[List[float]]`, `dict[str, str]` or `str | None` stands for.
 
-    Every value can be null, so optional and plain types are the same. An unknown word is an error.
+    Every value can be null, so optional and plain types are the same. An unknown word is an error; unless strict, it
+    and all else that is not a declaration is text.
     """
+    if not strict:
+        try:
+            return parsed_type(text)
+        except ValueError:
+            inner = re.fullmatch(r"\s*(?:List|list)\[(.*)\]\s*(?:\|\s*None\s*)?", text)
+            return T.ArrayType(parsed_type(inner[1], strict=False)) if inner else T.StringType()
     tokens = re.findall(r"Literal:scenarios|\w+|[\[\],|]", text)
     if "".join(tokens) != re.sub(r"\s", "", text):
         raise ValueError(f"not a type: {text!r}")
@@ -127,7 +136,7 @@ def grouped_concepts(rows: DataFrame, check: bool = True) -> DataFrame:
     last = lambda f: F.element_at(F.filter("_all", lambda x: x["field"] == f), F.lit(-1))["type"]
     problem = F.coalesce(*[F.when(F.col(f"_{c}") > 1, F.concat(F.lit(f"inconsistent {c} for concept "), "name")) for c in ("description", "aspect", "by_scenario")], F.when(F.size("_all") == 0, F.concat(F.lit("no structure field for concept "), "name")))
     shaped = out.select("pos", "name", "description", "aspect", "by_scenario", F.transform(fields, lambda f: F.struct(f.alias("field"), last(f).alias("type"))).alias("structure"), problem.alias("problem"))
-    return shaped.withColumn("name", F.when(F.col("problem").isNull(), F.col("name")).otherwise(F.raise_error("problem"))).drop("problem") if check else shaped
+    return shaped.withColumn("name", F.when(F.col("problem").isNull(), F.col("name")).otherwise(F.raise_error(F.col("problem")))).drop("problem") if check else shaped
 
 
 def with_defaults(concepts: DataFrame, defaults: dict) -> DataFrame:
@@ -174,6 +183,37 @@ def assembled(answers: DataFrame, scenarios: DataFrame) -> DataFrame:
     return one.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("scenario_idx", F.col("r.concepts").alias("concepts"))), lambda x, y: x["scenario_idx"] - y["scenario_idx"]), lambda x: F.struct(x["concepts"].alias("concepts"))).alias("results"))
 
 
+def by_aspect(concepts: DataFrame) -> DataFrame:
+    """aspect, by_scenario, concepts (names in order): what each aspect is asked, once and for each scenario.
+
+    A concept without an aspect stands under a null one.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"])
+    return concepts.groupBy("aspect", "by_scenario").agg(ordered.alias("concepts"))
+
+
+def assigned_to_aspects(concepts: DataFrame, aspects: DataFrame) -> DataFrame:
+    """The concepts whose aspect is one of aspects (name). It is an error if no aspect has any, and if one has none."""
+    kept = concepts.join(aspects.select(F.col("name").alias("aspect")).distinct(), "aspect", "left_semi").select(*concepts.columns)
+    bare = [r.name for r in aspects.join(kept.select(F.col("aspect").alias("name")).distinct(), "name", "left_anti").select("name").distinct().collect()]  # a configuration's aspects
+    if bare:
+        raise ValueError(f"no concepts for aspects {sorted(bare)}")
+    return kept
+
+
+def under_scenarios(concepts: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """pid, concept_pos, concept, description, aspect, structure as map<scenario, fields> of each paper's concepts.
+
+    {concept: fields} becomes {concept: {scenario: fields}}, so one call answers for all scenarios of the paper
+    (pid, scenario_idx, scenario); flatten.by_scenario() undoes it. concepts are a configuration and broadcast.
+    """
+    names = F.transform(F.array_sort(F.collect_list(F.struct("scenario_idx", "scenario"))), lambda x: x["scenario"])
+    listed = scenarios.groupBy("pid").agg(F.array_distinct(names).alias("_names"))
+    few = F.broadcast(concepts.select(F.col("pos").alias("concept_pos"), F.col("name").alias("concept"), "description", "aspect", F.col("structure").alias("_fields")))
+    nested = F.map_from_arrays("_names", F.transform("_names", lambda _: F.col("_fields")))
+    return listed.crossJoin(few).select("pid", "concept_pos", "concept", "description", "aspect", nested.alias("structure"))
+
+
 def outside_scenarios(values: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Rows of values (pid, scenario, ...) whose scenario the paper does not have: what a constrained schema rejects."""
     return values.join(scenarios.select("pid", "scenario").distinct(), ["pid", "scenario"], "left_anti")
@@ -184,6 +224,14 @@ def has_every_scenario(found: Column, scenarios: Column) -> Column:
     return (F.size(found) == F.size(scenarios)) & (F.size(F.array_except(scenarios, found)) == 0)
 
 
+def step_tokens(calls: DataFrame, count: Callable[[Column], Column] = token_count) -> DataFrame:
+    """pid, step, tokens: the tokens of all that a step's calls said (pid, step, call), counted again from the call log.
+
+    A step without calls has no row; a null call has no tokens. Each step counts its own calls, so nothing is reset.
+    """
+    return calls.groupBy("pid", "step").agg(F.sum(F.coalesce(count(F.col("call")), F.lit(0))).cast("long").alias("tokens"))
+
+
 def token_usage(calls: DataFrame) -> DataFrame:
     """pid, scope, prompt_tokens, completion_tokens, total_tokens: sums of a paper's calls by scenario.
 

@@ -81,6 +81,30 @@ def union_by_name(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def unnested(documents: DataFrame) -> DataFrame:
+    """id, pos, concept, value: what was found for a document's concepts, those of its aspects first, then its own.
+
+    documents: id, aspects array<struct<name, concepts array<struct<name, items array<string>>>>>, concepts (the same
+    array). Every item of a concept is a row; a document without aspects or concepts has the other's rows alone.
+    """
+    items = lambda c: F.flatten(F.transform(c, lambda x: F.transform(x["items"], lambda i: F.struct(x["name"].alias("concept"), i.alias("value")))))
+    none = F.array().cast("array<struct<concept: string, value: string>>")
+    of_aspects = F.flatten(F.transform("aspects", lambda a: items(a["concepts"])))
+    rows = documents.select("id", F.posexplode(F.concat(F.coalesce(of_aspects, none), F.coalesce(items(F.col("concepts")), none))).alias("pos", "x"))
+    return rows.select("id", "pos", "x.concept", "x.value")
+
+
+def without_scenarios(found: DataFrame, name: str = "Scenarios") -> DataFrame:
+    """Rows of found (concept, ...) but those of the list of scenarios itself."""
+    return found.where(F.col("concept").isNull() | (F.col("concept") != name))
+
+
+def in_column_order(table: DataFrame, key: str = "PID") -> DataFrame:
+    """A union of several papers' rows with its columns sorted by name; the rows of one paper keep the order they have."""
+    several = table.select(key).distinct().limit(2).count() > 1
+    return table.select(*[F.col(f"`{c}`") for c in (sorted(table.columns) if several else table.columns)])
+
+
 def by_scenario(nested: DataFrame, scenarios: Column) -> DataFrame:
     """From {concept: {scenario: {field: value}}} to one row per scenario with {concept: {field: value}} as JSON.
 

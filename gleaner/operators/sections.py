@@ -15,37 +15,35 @@ from gleaner.storage import stored
 LEAST_SIMILARITY = 0.5
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    return F.coalesce(cosine(hashed_embedding(a), hashed_embedding(b)), F.lit(0.0))
-
-
-def headers(documents: DataFrame, sections: tuple[str, ...] = SECTIONS, scorer: Callable[[Column, Column], Column] = _similarity, strict: bool = True) -> DataFrame:
+def headers(documents: DataFrame, sections: tuple[str, ...] = SECTIONS, scorer: Callable[[Column, Column], Column] | None = None, strict: bool = True, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
     """doc_id, section_pos, section, section_title, cosine_similarity, fuzzy_cosine_similarity: each section's best header.
 
     documents: doc_id, text. The best header has the highest score, the first one of equals; a text without headers has
     no rows. Papers share most of their headers, so distinct lines are scored once, however many papers there are; the
-    fuzzy cosine is taken for best headers whose cosine is low.
+    fuzzy cosine is taken for best headers whose cosine is low. Without a scorer the cosine of `embed`'s vectors scores.
     """
+    similarity = lambda a, b: F.coalesce(cosine(embed(a), embed(b)), F.lit(0.0))
+    scorer = scorer or similarity
     lines = documents.select("doc_id", F.posexplode(potential_headers(F.coalesce("text", F.lit("")), strict)).alias("pos", "header"))
     kinds = lines.select("header").distinct().select("header", F.posexplode(F.array(*map(F.lit, sections))).alias("section_pos", "section"))
-    plain = _similarity(clean_title(F.col("section")), clean_title(F.col("header")))
+    plain = similarity(clean_title(F.col("section")), clean_title(F.col("header")))
     scored = stored(kinds.select("*", scorer(F.col("section"), F.col("header")).alias("score"), plain.alias("cosine_similarity")), "sections-scored")
     top = F.max_by(F.struct(F.col("header").alias("section_title"), "cosine_similarity"), F.struct("score", -F.col("pos")))
     best = lines.join(scored, "header").groupBy("doc_id", "section_pos", "section").agg(top.alias("b")).select("doc_id", "section_pos", "section", "b.*")
     best = stored(best, "sections-best")
     low = best.where(F.col("cosine_similarity") < LEAST_SIMILARITY).select("section", "section_title").distinct()
-    low = low.withColumn("fuzzy", fuzzy_cosine(clean_title(F.col("section")), clean_title(F.col("section_title"))))
+    low = low.withColumn("fuzzy", fuzzy_cosine(clean_title(F.col("section")), clean_title(F.col("section_title")), embed))
     found = best.join(stored(low, "sections-fuzzy"), ["section", "section_title"], "left")
     return found.select("doc_id", "section_pos", "section", "section_title", "cosine_similarity", F.coalesce(F.nullif(F.col("fuzzy"), F.lit(0.0)), "cosine_similarity").alias("fuzzy_cosine_similarity"))
 
 
-def extracted(documents: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+def extracted(documents: DataFrame, sections: tuple[str, ...] = SECTIONS, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
     """doc_id, section_pos, section, section_title, cosine_similarity, fuzzy_cosine_similarity, section_text.
 
     A section is accepted if its header is similar enough; its text ends where the title of the next accepted section
     (in the order of the given sections) comes. What follows the references is added to methods and results.
     """
-    found = headers(documents, sections)
+    found = headers(documents, sections, embed=embed)
     fits = (F.col("cosine_similarity") >= LEAST_SIMILARITY) | (F.col("fuzzy_cosine_similarity") >= LEAST_SIMILARITY)
     titles = found.where(fits).groupBy("doc_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("section_pos", "section_title"))), lambda x: x["section_title"])).alias("titles"))
     rows = found.withColumn("_fits", fits).join(titles, "doc_id", "left").join(documents.select("doc_id", "text"), "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.vectors import stop_words
+from gleaner.functions.vectors import let, stop_words
 
 # What counts as a word, and parameters of terms and clusters.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -29,11 +29,12 @@ def terms(text: Column) -> Column:
 def term_weights(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
     """term, documents, occurrences, idf of terms in min_documents documents or more, and in max_share of all at most.
 
-    idf is ln((1 + n) / (1 + documents)) + 1. Terms are counted within a document before they move.
+    idf is ln((1 + n) / (1 + documents)) + 1. A document's terms are sorted in its own row, which tells where each one
+    stands first, so rows move once, by term, with partial sums. documents: doc_id (unique), text.
     """
     n = documents.count()
-    counted = documents.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    found = counted.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+    marked = let(F.array_sort(terms(F.coalesce("text", F.lit("")))), lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.element_at(ts, F.greatest(i, F.lit(1))) == t), 0).otherwise(1).alias("new"))))
+    found = documents.select(F.explode(marked).alias("x")).select("x.*").groupBy("term").agg(F.sum("new").alias("documents"), F.count("*").alias("occurrences"))
     kept = found.where((F.col("documents") >= min_documents) & (F.col("documents") <= max_share * n))
     return kept.withColumn("idf", F.log((1 + F.lit(float(n))) / (1 + F.col("documents"))) + 1)
 

@@ -38,7 +38,7 @@ def compare(auto: DataFrame, manual: DataFrame, ignored: tuple[str, ...] = (), e
     mapping = matching.assigned(auto, manual, names.withColumn("v", embed(F.col("scenario"))))
     joined = stored(matching.full_outer(auto, manual, mapping), "comparison-joined")
     fields = matching.paired_fields(auto, manual, ignored)
-    similar = metrics.with_hashed_similarity(matching.cells(joined, fields, with_pid=True))
+    similar = metrics.with_hashed_similarity(matching.cells(joined, fields, with_pid=True), embed)
     cells = metrics.cell_metrics(similar)
     if judge:
         cells = metrics.cell_metrics(metrics.with_judgement(stored(cells, "comparison-cells"), judge), judged=True)

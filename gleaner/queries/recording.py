@@ -54,7 +54,7 @@ def param_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("pid"), F.when(F.length("text") > 200, F.substring("text", 1, 20)).alias("abstract"), F.col("lang").alias("request_id"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("pid"), F.when(F.length("text") > 200, F.col("text")).alias("abstract"), F.col("lang").alias("request_id"))
     return catalog.abstracts(docs, {"request_id": "en", "pid": None})
 
 
@@ -101,7 +101,7 @@ QUERIES = {
     "title_match": (title_match, None),
     "warehouse_projection": (warehouse_projection, "SELECT c_name, c_custkey, '2024-01-01' AS inserted_at FROM customer"),
     "param_query": (param_query, "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 1000 AND c_mktsegment <> 'O''Brien' GROUP BY c_mktsegment"),
-    "abstracts": (abstracts, "SELECT DISTINCT source AS pid, substr(text, 1, 20) AS abstract, lang AS request_id FROM documents WHERE length(text) > 200 AND lang = 'en'"),
+    "abstracts": (abstracts, "SELECT DISTINCT source AS pid, text AS abstract, lang AS request_id FROM documents WHERE length(text) > 200 AND lang = 'en'"),
     "dataclass_schema": (dataclass_schema, "SELECT * FROM (VALUES ('title', 'string'), ('links', 'struct<url:string,status:string>'), ('authors', 'array<struct<name:string,rank:bigint>>'), ('tags', 'array<string>'), ('score', 'double')) AS t(name, type)"),
     "incremental_distinct": (incremental_distinct, "SELECT DISTINCT event_type, user_id FROM events"),
 }

@@ -16,7 +16,7 @@ _PAIRS = """SELECT n AS a, lead(n) OVER (ORDER BY n) AS b FROM (SELECT DISTINCT
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     found = ranking.nearest_by_vector(asked, vectors.select(F.col("vec_id").alias("doc_pos"), F.col("embedding").alias("vector")), most=10)
     return found.select("query_id", "doc_pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -25,7 +25,7 @@ def two_stage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vector"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(vectors, F.col("doc_id") % 500 == F.col("vec_id")).select(F.col("doc_id").alias("doc_pos"), "text", F.col("embedding").alias("vector"))
-    found = ranking.two_stage(asked, docs, prefilter=50, top=5)
+    found = ranking.two_stage(asked, docs)
     return found.select("query_id", "doc_pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -56,9 +56,8 @@ def topic_clusters_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics of benchmark items and the sentences that rank first for each."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
-    return topic_ranking.ranked_topics(items)
+    """Topics of all documents and the sentences that rank first for each."""
+    return topic_ranking.ranked_topics(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 _STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words()) + "]"
@@ -68,11 +67,11 @@ _SET = "list_distinct(list_filter(string_split_regex(lower({c}), '[\\s\\x0b]+'),
 
 QUERIES = {
     "cosine_topk": (cosine_topk, """SELECT query_id, doc_pos, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_pos) AS rank FROM (
-        SELECT q.vec_id AS query_id, d.vec_id AS doc_pos, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)) WHERE rank <= 10"""),
+        SELECT q.vec_id AS query_id, d.vec_id AS doc_pos, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0)) WHERE rank <= 10"""),
     "two_stage_rank": (two_stage_rank, f"""WITH q AS (SELECT item_id AS query_id, text AS query, embedding AS qv FROM benchmark JOIN embeddings ON item_id = vec_id QUALIFY row_number() OVER (PARTITION BY text ORDER BY item_id) = 1),
-        near AS (SELECT query_id, query, doc_id AS doc_pos, text, list_inner_product(CAST(qv AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM q, documents d JOIN embeddings e ON d.doc_id % 500 = e.vec_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_pos) <= 50),
+        near AS (SELECT query_id, query, doc_id AS doc_pos, text, list_inner_product(CAST(qv AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM q, documents d JOIN embeddings e ON d.doc_id % 500 = e.vec_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_pos) <= 200),
         scored AS (SELECT query_id, doc_pos, coalesce(len(list_intersect({_SET.format(c='query')}, {_SET.format(c='text')})) / nullif(len(list_distinct(list_concat({_SET.format(c='query')}, {_SET.format(c='text')}))), 0), 0e0) AS score FROM near)
-        SELECT query_id, doc_pos, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_pos) AS rank FROM scored QUALIFY rank <= 5"""),
+        SELECT query_id, doc_pos, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_pos) AS rank FROM scored QUALIFY rank <= 10"""),
     "fuzzy_similarity": (fuzzy_similarity, fx.with_ctes({"pairs": f"SELECT * FROM ({fx.duck(_PAIRS)}) WHERE b IS NOT NULL", "vals": "SELECT DISTINCT unnest(list_prepend(value, string_split(value, ' '))) AS value FROM (SELECT a AS value FROM pairs UNION ALL SELECT b FROM pairs)",
         "vecs": "SELECT value, embedding AS v FROM vals JOIN embeddings ON (ascii(value) * 7 + length(value) * 3) % 499 = vec_id",
         "va": f"SELECT a, unnest(list_prepend(a, list_distinct(list_filter(string_split(a, ' '), lambda w: NOT list_contains({_STOP}, w))))) AS x FROM pairs", "vb": f"SELECT b, unnest(list_prepend(b, list_distinct(list_filter(string_split(b, ' '), lambda w: NOT list_contains({_STOP}, w))))) AS y FROM pairs",
