@@ -4,8 +4,8 @@ Equal vectors are one node, with its least members kept, so a vector that a thir
 graph starts from blocks of random-projection leaves. Each pass samples every node's new and old neighbours in both
 directions, joins them at the node (neighbours of neighbours), and sends only pairs nearer than what a side already
 has. Vectors travel as they are given, in single precision and unscaled, and every distance is computed in double
-precision, so rows of a far larger size change nothing for the others. Search keeps a beam per query, expands its best unexpanded nodes by a join with the graph, and stops when
-the beam has none left.
+precision, so rows of a far larger size change nothing for the others. Search keeps a beam per query, expands its best
+unexpanded nodes by a join with the graph, and stops when the beam has none left.
 """
 
 from __future__ import annotations
@@ -21,16 +21,14 @@ from pyspark.sql import functions as F
 from gleaner.llm._io import written
 
 DEGREE, SAMPLE, TREES, LEAF, PASSES, STOP = 24, 8, 4, 192, 8, 0.01
-BEAM, EXPAND, ROUNDS, PIVOTS = 48, 8, 12, 64
+BEAM, EXPAND, PIVOTS = 48, 8, 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<float>): rows that take part, one per vec_id, all of the commonest length."""
+    """vec_id, v (array<float>): rows that take part, one per vec_id."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).where("vec_id is not null and size(v) > 0")
     rows = rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (common.n if common else 0))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pa.Array, kind) -> np.ndarray:
@@ -181,7 +179,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["query_id", "id", "d"])
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND, rounds: int = ROUNDS) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """nodes: id, v; graph: u, b, d; queries: query_id, start (its own node, or null), q. Returns the visited (query_id, id, d).
 
     Both directions of an edge are walked, of the reverse one the nearest DEGREE. Entries are the query's own node, if
@@ -195,7 +193,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
     entries = queries.select("query_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("id")) if ids else queries.select("query_id", F.col("start").alias("id")).limit(0)
     entries = entries.unionByName(queries.where("start is not null").select("query_id", F.col("start").alias("id"))).distinct()
     seen = written(distances(entries).withColumn("done", F.lit(False)), "ann-beam")
-    for _ in range(rounds):
+    while True:  # each turn expands nodes for good, so it ends
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
         ranked = seen.withColumn("r", place)
         front = ranked.where((F.col("r") <= beam) & ~F.col("done")).withColumn("e", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("e") <= expand).select("query_id", "id")
@@ -211,13 +209,19 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found of each row whose vec_id is divisible by `every`.
 
-    vectors: vec_id, embedding. Nulls, zero vectors and vectors with null or non-finite components take no part, nor do
-    vectors of another length than the commonest; a repeated vec_id counts once, with its least vector. Ties go to the
-    smaller vec_id.
+    vectors: vec_id, embedding; other columns are ignored, whatever their names. Nulls, zero vectors and vectors with null
+    or non-finite components take no part; vectors of different lengths have no distance, so those of each length are
+    searched by themselves. A repeated vec_id counts once, with its least vector. Ties go to the smaller vec_id.
     """
     rows = usable(vectors)
-    if rows.isEmpty():
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in sorted(r.n for r in rows.select(F.size("v").alias("n")).distinct().collect()):  # one, in a sound table
+        found = found.unionByName(_nearest(rows.where(F.size("v") == length), every, k))
+    return found
+
+
+def _nearest(rows: DataFrame, every: int, k: int) -> DataFrame:
+    """nearest() of rows (vec_id, v) of one length."""
     rows = written(rows.mapInArrow(_packed, "vec_id long, v binary"), "ann-vectors")
     nodes = written(rows.groupBy("v").agg(F.min("vec_id").alias("id")).select("id", "v"), "ann-nodes")
     of = Window.partitionBy("v").orderBy("vec_id")

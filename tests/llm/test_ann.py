@@ -47,3 +47,10 @@ def test_one_row_of_another_size_leaves_recall_as_it_is(spark):
         best = [i for i in np.argsort(d, kind="stable").tolist() if i != q][:10]
         hits += len(set(best) & {r.vec_id for r in got if r.query_id == q})
     assert hits >= 0.9 * 400
+
+
+def test_repeated_ids_other_lengths_and_clashing_names(spark):
+    rows = [(0, [1.0, 0.0], 1, 2), (0, [0.0, 1.0], 1, 2), (1, [0.0, 1.0], 1, 2), (2, [3.0, 1.0], 1, 2), (100, [1.0, 1.0, 1.0], 1, 2), (101, [1.0, 1.0, 2.0], 1, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int, v int")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in nearest(df).collect())
+    assert got == [(0, 1, 1, 0.0), (0, 2, 2, 3.0), (100, 1, 101, 1.0)]
