@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm._io import spread_join, written
+
 SEGMENT, CHUNK = 32_768, 8_192
 #: Bytes of records that a file is made for; whole files are read.
 FILE_BYTES = 16 << 20
@@ -107,8 +109,9 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, segment: in
     rows = rows.withColumn("key", F.concat(F.sha2("payload", 256), F.lit(":"), F.octet_length("payload")))
     numbered = "row_number() over (partition by page_id order by key, url)"
     light = rows.select("page_id", "url", "key").withColumn("dup", F.expr(numbered)).withColumn("key", F.when(F.substring_index("key", ":", -1).cast("long") >= least_bytes, F.col("key")).otherwise(F.concat_ws("/", "page_id", "dup", "key")))
+    light = written(light.select("page_id", "dup", "key"), "warc-pages")
     firsts = light.groupBy("key").agg(F.min(F.struct("page_id", "dup")).alias("first"))
-    chosen = light.join(firsts, "key").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("dup", "first"))).alias("firsts"))
+    chosen = spread_join(light, firsts, ["key"]).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("dup", "first"))).alias("firsts"))
     full = rows.repartition(files, "page_id").withColumn("dup", F.expr(numbered)).join(chosen, "page_id").withColumn("first", F.col("firsts")[F.col("dup")])
     full = full.select("page_id", "dup", "url", "payload", base32_sha1(F.col("payload")).alias("digest"), F.col("first.page_id").alias("first_page"), F.col("first.dup").alias("first_dup"))
     built = full.mapInArrow(_build(segment, chunk), "value binary")
@@ -220,8 +223,11 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
         F.sort_array(F.collect_list(F.when(F.col("segment").isNotNull(), F.struct("segment", "block")))).alias("segments"),
     )
     whole = found.mapInArrow(_join_segments(payloads), "record_id string, type string, url string, refers string, payload binary, n long, digest string, error string")
+    whole = written(whole, "warc-records")
     given = whole.where("type = 'response'").select(F.col("record_id").alias("refers"), *[F.col(c).alias(f"{c}_") for c in ("payload", "n", "digest", "error")])
-    met = whole.join(given, "refers", "left")
+    # only revisits look for a response, and a response may have any number of them
+    again = F.coalesce(F.col("type") == "revisit", F.lit(False))
+    met = spread_join(whole.where(again), given, ["refers"], "left").unionByName(whole.where(~again), allowMissingColumns=True)
     pick = lambda c: F.when(F.col("type") == "revisit", F.col(f"{c}_")).otherwise(F.col(c))
     lost = (F.col("type") == "revisit") & F.col("n_").isNull()
     return met.select(

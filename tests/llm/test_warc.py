@@ -54,3 +54,19 @@ def test_framing():
     assert warc.unchunked(b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+def test_repeated_pages_frequent_payloads_and_very_long_ones(spark, tmp_path, monkeypatch):
+    from gleaner.llm import _io
+
+    monkeypatch.setattr(_io, "FREQUENT", 4)
+    long = "".join(f"line {i} é\r\n\r\n" for i in range(150_000))
+    rows = [(1, "u", "one", "x"), (1, "u", "two", "x"), (1, "u", "one", "x"), *((10 + i, f"u{i}", "same for many", "x") for i in range(40)), (60, "l", long, "x"), (61, "l", long, "x")]
+    got = warc.archived_pages(_pages(spark, rows), str(tmp_path / "w")).collect()
+    assert len(got) == len(rows) and all(r.error is None for r in got)
+    many = {r.page_id: r for r in got if 10 <= r.page_id < 50}
+    assert len(many) == 40 and [p for p, r in many.items() if r.record_type == "response"] == [10] and {r.refers_to for p, r in many.items() if p > 10} == {10}
+    assert sorted((r.record_type, r.refers_to, r.payload_digest == base64.b32encode(hashlib.sha1(b"one").digest()).decode()) for r in got if r.page_id == 1 and r.record_type == "response") == [("response", None, False), ("response", None, True)]
+    assert sum(r.record_type == "revisit" and r.refers_to == 1 for r in got if r.page_id == 1) == 1
+    last = {r.page_id: r for r in got if r.page_id >= 60}
+    assert last[60].payload_bytes == last[61].payload_bytes == len(long.encode()) and last[61].refers_to == 60
