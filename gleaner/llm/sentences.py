@@ -1,9 +1,11 @@
 """Removal of repeated sentence spans: runs of several consecutive sentences that stand somewhere before.
 
 A sentence ends at a line end, or at white space after one of .!? ; runs are compared by their words in lower case
-(A-Z), so spacing does not matter. From every sentence on, and up to every sentence, the shortest run of at least
-`least_sentences` sentences and `least_words` words is hashed; a sentence of `long_sentence` words is a run by itself.
-Of equal runs the first by (doc_id, position) stays; sentences that another one covers are removed.
+(A-Z), so spacing does not matter. Every run of at least `least_sentences` sentences and `least_words` words counts, but
+only the shortest one from each sentence on and the shortest one up to each sentence are hashed: within a longer run
+that is repeated they cover every sentence and are repeated with it, so hashing that one would remove nothing more. A
+sentence of `long_sentence` words is a run by itself. Of equal runs the first by (doc_id, position) stays; sentences that
+another one covers are removed.
 
 Passages that stand within other text, with no whole sentence of their own, are found by runs of `gram` words anywhere:
 of all such runs in every window of WINDOW starts the least hash is taken (winnowing), so a shared span of
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm._io import unique_rows
 from gleaner.llm._text import SPACE_WORDS, U64, Words, mix, powers, signed, slices, window_min
 
 LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 12, 24
@@ -114,7 +117,7 @@ def _local(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     late = np.concatenate(([False], h[1:] == h[:-1]))
     # a later one is removed whatever the rest of the corpus holds: it travels under a hash of its own
     own = mix(doc.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + a.astype(U64)) ^ h
-    return pa.RecordBatch.from_arrays([pa.array(signed(np.where(late, own, h))), pa.array(doc, pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(late)], ["h", "doc_id", "a", "b", "late"])
+    return pa.RecordBatch.from_arrays([pa.array(signed(np.where(late, own, h))), pa.array(doc, pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(late)], ["h", "key", "a", "b", "late"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +165,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeated_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_sentence: int = LONG_SENTENCE, gram: int = 0) -> DataFrame:
     """Of each document its sentences, those removed, and the text without them.
 
-    docs: doc_id (unique), text; other columns are ignored. Returns doc_id, n_sentences, n_removed, text. A null text
-    counts as empty. n_removed counts the sentences that lose words: all of them, or with `gram` (0: none) the part that
-    a repeated run of so many words covers. Repeats within a document count as well. Rows with a null doc_id are left out.
+    docs: doc_id, text; other columns are ignored. Returns doc_id, n_sentences, n_removed, text, a row for every row of
+    docs. A null text counts as empty. Rows with a null or repeated doc_id are documents like others, nulls coming last:
+    of equal rows the first one keeps its sentences. n_removed counts the sentences that lose words: all of them, or with `gram` (0: none) the part that
+    a repeated run of so many words covers. Repeats within a document count as well.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = unique_rows(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(_run_rows(least_sentences, least_words, long_sentence, gram), "h long, doc_id long, a int, b int, late boolean")
-    late = rows.repartition(parts, "h").sortWithinPartitions("h", "doc_id", "a").mapInArrow(_later, "doc_id long, a int, b int")
-    spans = late.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, text string")
+    rows = docs.select("key", "text").mapInArrow(_run_rows(least_sentences, least_words, long_sentence, gram), "h long, key long, a int, b int, late boolean")
+    late = rows.repartition(parts, "h").sortWithinPartitions("h", "key", "a").mapInArrow(_later, "key long, a int, b int")
+    spans = late.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, text string")

@@ -92,3 +92,29 @@ def test_a_passage_within_other_sentences_loses_words(spark):
             assert left[:20] == was[:20] and left[len(left) - d + 100 :] == was[len(was) - d + 100 :]
         else:
             assert got[d].text == t and got[d].n_removed == 0
+
+
+def test_every_run_of_several_sentences_counts(spark):
+    rng = random.Random(11)
+    sentence = lambda: " ".join(rng.choice("abcde") * rng.randint(1, 3) for _ in range(rng.randint(1, 8))) + "."
+    passages = [" ".join(sentence() for _ in range(rng.randint(2, 9))) for _ in range(5)]
+    rows = [(d, " ".join(rng.choice(passages) if rng.random() < 0.4 else sentence() for _ in range(rng.randint(0, 8))), "") for d in range(60)]
+    every = lambda s: {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if sum(len(x[0]) for x in s[i : j + 1]) >= 12}
+    seen, want = set(), {}
+    for d, t, _ in rows:
+        s, gone = split(t), set()
+        for i, j in sorted(every(s)):
+            key = tuple(w for x in s[i : j + 1] for w in x[0])
+            if key in seen:
+                gone.update(range(i, j + 1))
+            seen.add(key)
+        want[d] = len(gone)
+    got = remove_repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(3), 2, 12, 10**6)
+    assert {r.doc_id: r.n_removed for r in got.collect()} == want
+
+
+def test_equal_rows_and_null_ids_keep_a_first_copy(spark):
+    p = "The quick fox went over the old wall. Nobody saw where it had gone to that night. So we waited."
+    rows = [(1, p, "x"), (1, p, "x"), (None, p, "x"), (None, None, None), (1, "Other words that stand here once alone.", "x"), (0, "", "x")]
+    got = sorted((str(r[0]), r[1], r[2], r[3]) for r in remove_repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    assert got == sorted([("1", 3, 0, p), ("1", 3, 3, ""), ("None", 3, 3, ""), ("None", 0, 0, ""), ("1", 1, 0, rows[4][1]), ("0", 0, 0, "")])
