@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.queries import comparing, extracting, reading, recording, searching
+from gleaner.queries import comparing, extracting, filing, reading, recording, searching
 
-_ALL = comparing.QUERIES | reading.QUERIES | extracting.QUERIES | recording.QUERIES | searching.QUERIES
+_ALL = comparing.QUERIES | reading.QUERIES | extracting.QUERIES | recording.QUERIES | searching.QUERIES | filing.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

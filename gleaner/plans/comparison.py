@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import hashed_embedding
 from gleaner.operators import flatten, matching, metrics, statistics
-from gleaner.sources.writers import write_report
+from gleaner.sources.workbooks import write_workbook
+from gleaner.sources.writers import OPTIONAL_SHEETS, write_report
 from gleaner.storage import stored
 
 
@@ -58,5 +59,7 @@ def wide_cells(found: Comparison, fields: list[str]) -> DataFrame:
     return met.select("j.pid", "j.scenario", "j.scenario_manual", *order, *rest)
 
 
-def report(path: str, auto: DataFrame, found: Comparison, execution: DataFrame) -> list[str]:
-    return write_report(path, {"Auto Data": auto, "Joined Data": found.joined, "Statistics": found.by_pair, "Summary Statistics": found.overall, "Field Stats": found.by_field, "Execution Statistics": execution})
+def report(path: str, found: Comparison, execution: DataFrame) -> list[str]:
+    """Joined data and statistics as one workbook (a path that ends in .xlsx) or as a folder of tables; names of the sheets."""
+    sheets = {"Joined Data": found.joined, "Statistics": found.by_pair, "Summary Statistics": found.overall, "Field Stats": found.by_field, "Execution Statistics": execution}
+    return write_workbook(path, sheets, OPTIONAL_SHEETS) if path.lower().endswith(".xlsx") else write_report(path, sheets)

@@ -22,6 +22,7 @@ from gleaner.operators.ranking import overlap
 
 # Attempts and seconds between them.
 ATTEMPTS, FIRST_DELAY, LONGEST_DELAY = 6, 1.0, 20.0
+SLOW_ATTEMPTS, SLOW_DELAY = 8, 5.0
 
 EMBEDDER: Callable[[Column], Column] = hashed_embedding
 SCORER: Callable[[Column, Column], Column] = overlap
@@ -62,19 +63,51 @@ class RuleExtractor:
         return [(n.strip(), None) for n in dict.fromkeys(named)] or [("main", None)]
 
 
+class Fallback:
+    """A group of extractors: the first one that answers is taken; if none does, the last one's fault is raised.
+
+    `scenarios_by` names the one that reasons about scenarios (the first), so that a larger model can find them and a
+    smaller one fill in the fields.
+    """
+
+    def __init__(self, *extractors: Extractor, scenarios_by: Extractor | None = None) -> None:
+        if not extractors:
+            raise ValueError("a group needs an extractor")
+        self.extractors, self.reasoner = extractors, scenarios_by
+
+    def _first(self, ask: Callable[[Extractor], object], among: tuple[Extractor, ...]):
+        for extractor in among[:-1]:
+            try:
+                return ask(extractor)
+            except Exception:  # noqa: S112, the next one is asked
+                continue
+        return ask(among[-1])
+
+    def extract(self, call: Call) -> Answer:
+        return self._first(lambda e: e.extract(call), self.extractors)
+
+    def scenarios(self, text: str) -> list[tuple[str, str | None]]:
+        return self._first(lambda e: e.scenarios(text), (self.reasoner, *self.extractors) if self.reasoner else self.extractors)
+
+
+def slow_delay(attempt: int, jitter: float) -> float:
+    """Seconds before the next attempt of the slower backend: doubled each time without a limit, and up to half more."""
+    return SLOW_DELAY * 2**attempt * (1 + jitter / 2)
+
+
 def delay(attempt: int, jitter: float) -> float:
     """Seconds before the next attempt: doubled each time up to a limit, times 0.7 to 1.3."""
     return min(LONGEST_DELAY, FIRST_DELAY * 2**attempt) * (0.7 + 0.6 * jitter)
 
 
-def with_retries(call: Callable[[], Answer], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> Answer:
+def with_retries(call: Callable[[], Answer], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep, wait: Callable[[int, float], float] = delay) -> Answer:
     for attempt in range(attempts):
         try:
             return call()
         except Exception:
             if attempt == attempts - 1:
                 raise
-            sleep(delay(attempt, random.random()))
+            sleep(wait(attempt, random.random()))
     raise ValueError("attempts must be positive")
 
 
@@ -100,6 +133,29 @@ def answered(tasks: DataFrame, extractor: Extractor, attempts: int = ATTEMPTS) -
     return tasks.mapInPandas(run, "pid string, scenario_idx int, scenario string, concept_pos long, concept string, content string, prompt_tokens long, completion_tokens long, error string")
 
 
+def answered_at_once(tasks: DataFrame, extractor: Extractor, attempts: int = ATTEMPTS) -> DataFrame:
+    """Adds content, prompt_tokens, completion_tokens, error to tasks whose structure is nested under scenarios.
+
+    tasks: pid, concept_pos, concept, description, structure (map<scenario, fields>), text. One row asks for all
+    scenarios of a concept; content is {scenario: {field: value}} and usage the sum. A fault leaves all fields null.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for t in batch.itertuples(index=False):
+                nested = {s: [x["field"] for x in fields] for s, fields in dict(t.structure).items()}
+                try:
+                    ask = lambda s, fields: with_retries(lambda: extractor.extract(Call(t.text or "", t.concept, t.description, fields, s)), attempts)  # noqa: B023, E731
+                    found = {s: ask(s, fields) for s, fields in nested.items()}
+                    said = ({s: a.values for s, a in found.items()}, sum(a.prompt_tokens for a in found.values()), sum(a.completion_tokens for a in found.values()), None)
+                except Exception as e:
+                    said = ({s: dict.fromkeys(fields) for s, fields in nested.items()}, None, None, f"{type(e).__name__}: {e}")
+                rows.append((t.pid, int(t.concept_pos), t.concept, json.dumps(said[0], ensure_ascii=False), *said[1:]))
+            yield pd.DataFrame(rows, columns=["pid", "concept_pos", "concept", "content", "prompt_tokens", "completion_tokens", "error"]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
+
+    return tasks.mapInPandas(run, "pid string, concept_pos long, concept string, content string, prompt_tokens long, completion_tokens long, error string")
+
+
 def found_scenarios(documents: DataFrame, extractor: Extractor) -> DataFrame:
     """pid, scenario_idx, scenario, description of documents (pid, text); a document that fails has none."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions.vectors import stop_words
 
 _PRICE = "CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING)"
 
@@ -75,6 +78,46 @@ CALLS = """SELECT CAST(o_custkey AS STRING) AS pid, CASE WHEN o_orderkey % 4 = 0
     CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE CAST(o_orderkey % 300 AS BIGINT) END AS prompt_tokens, CAST(o_orderkey % 41 AS BIGINT) AS completion_tokens FROM {orders}"""
 
 
+#: Characters that letters() counts.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789.,"
+
+
+def letters(text: Column) -> Column:
+    """A vector that both engines can make: how often each of some characters stands in a text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.transform(F.array(*map(F.lit, COUNTED)), lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double"))
+
+
+def duck_letters(text: str) -> str:
+    return f"list_transform(string_split('{COUNTED}', ''), lambda c: CAST(length(lower(coalesce({text}, ''))) - length(replace(lower(coalesce({text}, '')), c, '')) AS DOUBLE))"
+
+
+def duck_cosine(a: str, b: str) -> str:
+    """Null where a vector has no length."""
+    return f"nullif(list_cosine_similarity({a}, {b}), 'NaN'::DOUBLE)"
+
+
+def duck_words(text: str) -> str:
+    """A text's distinct words without stop words."""
+    stop = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words()) + "]"
+    return f"list_distinct(list_filter(string_split_regex({text}, '[\\s\\x0b]+'), lambda w: w <> '' AND NOT list_contains({stop}, w)))"
+
+
+def duck_fuzzy(source: str, a: str = "a", b: str = "b") -> dict[str, str]:
+    """CTEs that end in `fuzzy`(a, b, plain, fuzzy) of the distinct pairs of texts of a table, by letters()."""
+    words = lambda c: f"len(list_filter(string_split_regex({c}, '[\\s\\x0b]+'), lambda w: w <> ''))"
+    return {
+        "fz_pairs": f"SELECT DISTINCT {a} AS a, {b} AS b FROM {source}",
+        "fz_texts": "SELECT a AS t FROM fz_pairs UNION SELECT b FROM fz_pairs",
+        "fz_parts": f"SELECT t, unnest(list_prepend(t, {duck_words('t')})) AS x FROM fz_texts",
+        "fz_vectors": f"SELECT x, {duck_letters('x')} AS v FROM (SELECT DISTINCT x FROM fz_parts)",
+        "fz_sides": "SELECT DISTINCT t, v FROM fz_parts JOIN fz_vectors USING (x)",
+        "fz_best": f"SELECT a, b, max({duck_cosine('i.v', 'j.v')}) AS best FROM fz_pairs JOIN fz_sides i ON i.t = a JOIN fz_sides j ON j.t = b GROUP BY a, b",
+        "fz_whole": f"SELECT a, b, {duck_cosine('i.v', 'j.v')} AS plain FROM fz_pairs JOIN fz_vectors i ON i.x = a JOIN fz_vectors j ON j.x = b",
+        "fuzzy": f"SELECT a, b, plain, CASE WHEN NOT ({words('a')} = 1 AND {words('b')} = 1) THEN (best + plain) / 2 END AS fuzzy FROM fz_whole JOIN fz_best USING (a, b)",
+    }
+
+
 def tables_in(text: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import concepts, flatten, statistics
-from gleaner.plans import comparison, extraction
+from gleaner.plans import extraction
 from gleaner.queries import _fixtures as fx
 
 
@@ -85,16 +85,39 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(F.col("doc_id").cast("string").alias("pid"), F.concat(F.lit("/papers/"), "doc_id").alias("path"), "text", F.when(F.col("doc_id") % 50 == 49, "unreadable").alias("error"))
 
 
+def _extracted(spark: SparkSession, sf_dir: str, head: str = "", **how: str) -> extraction.Extraction:
+    config = spark.createDataFrame([(0, "Site", "Where", "Methods", False, [("System boundary", "str")]), (1, "Outcome", "What", "Results", True, [("Yield", "float")])], "pos long, name string, description string, aspect string, by_scenario boolean, structure array<struct<field: string, type: string>>")
+    return extraction.extract(_papers(spark, sf_dir).withColumn("text", F.concat(F.lit(head), "text")), config, **how)
+
+
+def _flat(found: extraction.Extraction) -> DataFrame:
+    return flatten.flattened(found.results).select("pid", "pdf_path", F.col("scenario_idx").cast("long").alias("scenario_idx"), "scenario", "field", "value")
+
+
 def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole extraction with the rule-based extractor, flattened."""
-    config = spark.createDataFrame([(0, "Site", "Where", "Methods", False, [("System boundary", "str")]), (1, "Outcome", "What", "Results", True, [("Yield", "float")])], "pos long, name string, description string, aspect string, by_scenario boolean, structure array<struct<field: string, type: string>>")
-    return flatten.flattened(extraction.extract(_papers(spark, sf_dir), config).results)
+    return _flat(_extracted(spark, sf_dir))
+
+
+def extraction_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of papers with two scenarios, each concept being asked once for both, over whole texts."""
+    return _flat(_extracted(spark, sf_dir, "Scenario: low\nScenario: high\n", scope="full", scenario_mode="schema"))
+
+
+def extraction_per_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_extracted(spark, sf_dir, scope="per_section"))
+
+
+def extraction_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).failures
 
 
-def comparison_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole comparison with built-in embeddings."""
-    found = comparison.compare(fx.derived(spark, sf_dir, fx.AUTO), fx.derived(spark, sf_dir, fx.MANUAL))
-    return found.by_field
+def _extraction(scenarios: list[tuple[int, str]]) -> str:
+    """What the rules find in each readable paper, for each of its scenarios."""
+    named = ", ".join(f"({i}, '{s}')" for i, s in scenarios)
+    return f"""SELECT CAST(c_custkey AS VARCHAR) AS pid, '/papers/' || c_custkey AS pdf_path, CAST(i AS BIGINT) AS scenario_idx, s AS scenario, f AS field,
+        CASE f WHEN 'SITE_SYSTEM BOUNDARY' THEN c_mktsegment WHEN 'OUTCOME_YIELD' THEN CAST(c_custkey % 97 AS VARCHAR) ELSE s END AS value
+        FROM customer, (VALUES {named}) AS a(i, s), (VALUES ('SITE_SYSTEM BOUNDARY'), ('SCENARIO_SCENARIO NAME'), ('OUTCOME_YIELD')) AS b(f) WHERE c_custkey % 50 <> 49"""
 
 
 _RESULTS = {
@@ -108,7 +131,7 @@ _RESULTS = {
         CASE field WHEN 'METADATA_PID' THEN 'PID' ELSE field END AS field, value FROM last""",
 }
 _STRUCT = "string_agg(structure_title || '=' || structure_data_type, ';' ORDER BY first_pos)"
-_CONFIG = {
+CONFIG_CTES = {
     "rows": fx.duck(fx.CONFIG),
     "named": "SELECT pos, trim(name) AS name, description, aspect, lower(by_scenario) IN ('true', '1', 'yes', 'y') AS by_scenario, structure_title, structure_data_type FROM rows WHERE name IS NOT NULL AND lower(trim(name)) NOT IN ('', 'nan', 'none') AND NOT starts_with(name, 'DEFAULT:')",
     "titled": "SELECT name, structure_title, arg_max(structure_data_type, pos) AS structure_data_type, min(pos) AS first_pos FROM named WHERE structure_title <> '' GROUP BY ALL",
@@ -125,7 +148,7 @@ QUERIES = {
         UNION ALL SELECT o_orderkey, '5-LOW ', c, '{"status":"low"}' FROM orders, (VALUES ('Price'), ('Site')) AS t(c)"""),
     "union_by_name": (union_by_name, "SELECT * FROM nation UNION ALL BY NAME SELECT * FROM region"),
     "nested_manual": (nested_manual, fx.with_ctes({"m": fx.duck(fx.MANUAL), "n": "SELECT pid, idx, coalesce(scenario, 'row_' || idx) AS s, year FROM m"}, "SELECT pid, count(DISTINCT s) AS n_scenarios, array_to_string(list_sort(list_distinct(list(s))), '|') AS names, arg_max(year, idx) FILTER (s = '5-LOW') AS low_year FROM n GROUP BY pid")),
-    "config_group": (config_group, fx.with_ctes(_CONFIG, "SELECT * FROM grouped")),
+    "config_group": (config_group, fx.with_ctes(CONFIG_CTES, "SELECT * FROM grouped")),
     "config_aspects": (config_aspects, fx.with_ctes({"rows": fx.duck(fx.CONFIG)}, "SELECT CAST(min(pos) AS BIGINT) AS pos, aspect AS name, aspect AS description FROM rows WHERE name IS NOT NULL AND trim(name) NOT IN ('', 'nan') AND aspect <> 'nan' GROUP BY aspect")),
     "task_fanout": (task_fanout, """SELECT CAST(c_custkey AS VARCHAR) AS pid, CAST(NULL AS BIGINT) AS scenario_idx, CAST(NULL AS VARCHAR) AS scenario, 'Site' AS concept, 'Where it is' AS description, CAST(2 AS BIGINT) AS n_fields,
         CASE WHEN c_custkey % 2 = 0 THEN 'methods of ' || c_name ELSE c_name END AS text FROM customer
@@ -135,6 +158,8 @@ QUERIES = {
     "scenario_constraint": (scenario_constraint, fx.with_ctes({"a": fx.duck(fx.AUTO), "m": fx.duck(fx.MANUAL)}, "SELECT pid, scenario, idx FROM m WHERE scenario IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a WHERE a.pid = m.pid AND a.scenario = m.scenario)")),
     "skip_existing": (skip_existing, "SELECT doc_id AS pid, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "failures": (failures, "SELECT count(*) FILTER (n_chars >= 100) AS succeeded, count(*) FILTER (n_chars < 100) AS failed, coalesce(array_to_string(list_sort(list_distinct(list('too short: ' || lang) FILTER (n_chars < 100))), '; '), '') AS errors FROM documents"),
-    "extraction_plan": (extraction_plan, None),
-    "comparison_plan": (comparison_plan, None),
+    "extraction_plan": (extraction_plan, _extraction([(0, "main")])),
+    "extraction_per_section": (extraction_per_section, _extraction([(0, "main")])),
+    "extraction_at_once": (extraction_at_once, _extraction([(0, "low"), (1, "high")])),
+    "extraction_failures": (extraction_failures, "SELECT CAST(c_custkey AS VARCHAR) AS pid, '/papers/' || c_custkey AS path, 'unreadable' AS error FROM customer WHERE c_custkey % 50 = 49"),
 }

@@ -44,8 +44,12 @@ def table_schema(model: type, include: list[str] | None = None, exclude: list[st
     return T.StructType([T.StructField(n, _kind(hints[n])) for n in names])
 
 
-def create_tables(spark: SparkSession, database: str, schemas: Mapping[str, T.StructType]) -> None:
-    spark.sql("CREATE DATABASE IF NOT EXISTS IDENTIFIER(:db)", args={"db": database})
+def create_tables(spark: SparkSession, database: str, schemas: Mapping[str, T.StructType], location: str | None = None) -> None:
+    """Creates the tables that are not there yet, and their database, in `location` or where the warehouse puts it."""
+    if location is None:
+        spark.sql("CREATE DATABASE IF NOT EXISTS IDENTIFIER(:db)", args={"db": database})
+    else:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS IDENTIFIER(:db) LOCATION '{location}'", args={"db": database})
     for name, schema in schemas.items():
         if not spark.catalog.tableExists(f"{database}.{name}"):
             spark.createDataFrame([], schema).write.format("parquet").saveAsTable(f"{database}.{name}")
@@ -57,12 +61,26 @@ def fitted(rows: DataFrame, columns: list[str], stamp: Column | None = None) ->
     return kept if stamp is None else kept.withColumn("inserted_at", stamp)
 
 
-def append_rows(rows: DataFrame, table: str) -> None:
-    """Appends to a catalog table what of rows it has columns for; missing columns are null; stamps inserted_at."""
+def append_rows(rows: DataFrame, table: str) -> list[str]:
+    """Appends to a catalog table what of rows it has columns for; missing columns are null; stamps inserted_at.
+
+    Rows with a value that does not fit its column are left out. Returns the distinct faults, at most one a column.
+    """
     target = rows.sparkSession.table(table).schema
     ready = fitted(rows, target.names, F.current_timestamp() if "inserted_at" in target.names else None)
-    full = ready.select(*[(F.col(f"`{f.name}`") if f.name in ready.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields])
-    full.write.mode("append").saveAsTable(table)
+    there = [f for f in target.fields if f.name in ready.columns]
+    faults = F.array_compact(F.array(*[F.when(F.col(f"`{f.name}`").isNotNull() & _cast(ready, f).isNull(), F.lit(f"{f.name}: not a {f.dataType.simpleString()}")) for f in there])) if there else F.array().cast("array<string>")
+    checked = ready.withColumn("_faults", faults)
+    found = [r.fault for r in checked.select(F.explode("_faults").alias("fault")).distinct().orderBy("fault").collect()]  # one a column
+    fit = checked.where(F.size("_faults") == 0)
+    fit.select(*[(_cast(ready, f) if f in there else F.lit(None).cast(f.dataType)).alias(f.name) for f in target.fields]).write.mode("append").saveAsTable(table)
+    return found
+
+
+def _cast(rows: DataFrame, field: T.StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    nested = isinstance(rows.schema[field.name].dataType, (T.ArrayType, T.MapType, T.StructType))
+    return column.cast(field.dataType) if nested else column.try_cast(field.dataType)
 
 
 def equals_all(wanted: Mapping[str, object]) -> Column:

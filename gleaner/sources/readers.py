@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators.concepts import CONFIG_COLUMNS
+from gleaner.operators.concepts import CONFIG_COLUMNS, SCENARIO_LITERAL
 from gleaner.operators.flatten import RENAMED, parsed_results
+from gleaner.sources import pdf
+from gleaner.sources.workbooks import workbook_rows
 
 _STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
@@ -40,6 +42,11 @@ def paper_texts(files: DataFrame, pages: Callable[[bytes], list[str]]) -> DataFr
     return files.mapInPandas(read, "path string, pid string, text string, error string")
 
 
+def pdf_papers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """paper_texts() of PDF files, by the built-in reader of pages."""
+    return paper_texts(paper_files(spark, paths), pdf.pages)
+
+
 def paper_tables(files: DataFrame, tables: Callable[[bytes], list[tuple[int, list[list[str]]]]]) -> DataFrame:
     """pid, page, table_no, row_no, cells of the tables that a provider finds in each file, in page order."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,14 +77,20 @@ def runs(results: DataFrame) -> DataFrame:
     return results.select("metadata.pid", "metadata.exec_time", F.try_element_at("tokens", F.lit("total")).try_cast("double").alias("total_tokens"))
 
 
-def table_with_headers(spark: SparkSession, path: str, header_rows: int | list[int] = 2, separator: str = ",") -> DataFrame:
-    """A spreadsheet saved as text: columns are named by one header row or by several, joined by `_`, in upper case.
+def table_with_headers(spark: SparkSession, path: str, header_rows: int | list[int] = 2, separator: str = ",", sheet: str | None = None) -> DataFrame:
+    """A sheet of a workbook (.xlsx; the first one unless named) or of separated text: columns are named by one header
+    row or by several, joined by `_`, in upper case. Of columns with the same name the first one stays.
 
     header_rows counts from 0; rows above the last header row are left out. Adds idx, a row's place. Such a table is
     made by hand, so it is one file and one partition.
     """
     heads = [header_rows] if isinstance(header_rows, int) else sorted(header_rows)
-    raw = spark.read.csv(path, header=False, multiLine=True, escape='"', sep=separator).withColumn("idx", F.monotonically_increasing_id())
+    if PurePosixPath(path).suffix.lower() == ".xlsx":
+        cells = workbook_rows(spark, path, sheet)
+        width = cells.agg(F.max(F.size("cells"))).first()[0] or 0
+        raw = cells.select(*[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(width)], "idx")
+    else:
+        raw = spark.read.csv(path, header=False, multiLine=True, escape='"', sep=separator).withColumn("idx", F.monotonically_increasing_id())
     top = {r["idx"]: r for r in raw.where(F.col("idx").isin(*heads)).collect()}
     names: list[str] = []
     for c in raw.columns[:-1]:
@@ -106,8 +119,12 @@ def json_config(spark: SparkSession, path: str) -> dict:
     return json.loads(rows[0].value)
 
 
-def json_concepts(spark: SparkSession, config: dict) -> DataFrame:
-    """pos, name, description, aspect, by_scenario, structure of a JSON configuration; a list of items is its fields."""
+def json_concepts(spark: SparkSession, config: dict, scenarios: bool = False) -> DataFrame:
+    """pos, name, description, aspect, by_scenario, structure of a JSON configuration; a list of items is its fields.
+
+    With scenarios, concepts that go by scenario begin with a field `scenario` whose values are the paper's scenarios:
+    concepts.outside_scenarios() and has_every_scenario() check them.
+    """
     rows = []
     for pos, c in enumerate(config["concepts"]):
         structure = c["structure"]
@@ -116,6 +133,8 @@ def json_concepts(spark: SparkSession, config: dict) -> DataFrame:
         pick = lambda k: c[k] if c.get(k) is not None else config.get("defaults", {}).get(k)  # noqa: E731, B023
         if pick("by_scenario") is None:
             raise ValueError(f"concept {c['name']!r} needs by_scenario, or a default for it")
+        if scenarios and pick("by_scenario"):
+            fields = [("scenario", SCENARIO_LITERAL), *fields]
         rows.append((pos, c["name"], c.get("description"), pick("aspect"), bool(pick("by_scenario")), fields))
     return spark.createDataFrame(rows, "pos long, name string, description string, aspect string, by_scenario boolean, structure array<struct<field: string, type: string>>")
 

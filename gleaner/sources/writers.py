@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.values import without_controls
+from gleaner.operators import flatten
+
+
+#: Sheets of a report that are left out if they have no rows.
+OPTIONAL_SHEETS = ("Summary Statistics", "Field Stats", "Execution Statistics")
 
 
 def write_json(rows: DataFrame, path: str, by: list[str] | None = None, mode: str = "errorifexists") -> None:
@@ -28,6 +33,15 @@ def write_table(rows: DataFrame, path: str, one_file: bool = False) -> None:
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_joined(results: DataFrame, path: str) -> list[str]:
+    """All result documents (columns of flatten.RESULT_SCHEMA) as one CSV file, a row per scenario; the columns' names."""
+    rows = flatten.flattened(results)
+    fields = [f for f in flatten.field_names(rows) if f not in ("PID", "SCENARIO NAME")]
+    table = flatten.wide(rows, fields).orderBy("PID", "scenario_idx").drop("scenario_idx")
+    write_table(table, path, one_file=True)
+    return table.columns
+
+
 def write_failures(papers: DataFrame, path: str) -> bool:
     """pid, path, error of papers that failed, if there are any."""
     failed = papers.where("error is not null").select("pid", "path", "error")
@@ -42,7 +56,7 @@ def clean_for_sheets(table: DataFrame) -> DataFrame:
     return table.withColumns({f.name: without_controls(F.col(f"`{f.name}`")) for f in table.schema.fields if isinstance(f.dataType, T.StringType)})
 
 
-def write_report(path: str, sheets: dict[str, DataFrame], optional: tuple[str, ...] = ("Summary Statistics", "Field Stats", "Execution Statistics")) -> list[str]:
+def write_report(path: str, sheets: dict[str, DataFrame], optional: tuple[str, ...] = OPTIONAL_SHEETS) -> list[str]:
     """A folder per sheet; optional sheets without rows are left out. Returns the names of those written."""
     written = []
     for name, table in sheets.items():
