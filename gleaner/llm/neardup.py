@@ -30,7 +30,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 UNIVERSE = 1 << 20
 #: Bytes of members, and of members outside the largest component, that are compared at once.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 #: The screen passes estimates down to this much under the threshold: five standard errors of 160 coordinates.
 SLACK = 0.15
 
