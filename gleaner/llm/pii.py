@@ -2,7 +2,8 @@
 
 Four base kinds are found by rule (email, ip, card, phone) and always stay. Beyond them, looser candidates (written-out
 addresses, numbers in phone or account shape, credentials) are put to labelers that vote yes, no or nothing: the shape
-of the match, a gazetteer of cue words, the context before it, and the mix of its characters. Votes are counted over
+of the match, a gazetteer of names, places, providers and services around it, cue words in the context before it, and
+the mix of its characters. Votes are counted over
 the whole corpus by pattern; there are at most some thousands of patterns whatever the corpus, and expectation-
 maximisation over those counts estimates each labeler's reliability by kind. The posteriors train a logistic span
 classifier, which becomes one SQL expression. Nothing but the counts of patterns reaches the driver.
@@ -15,6 +16,7 @@ the same matches as the plain rules but neither recurse nor rescan long runs.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,20 @@ PATTERNS = {
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}+)"
 _CUES = r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|card|account|visa|ssn|passport|login|password|passwd|token|secret|key|user)"
+# Words that speak for a candidate of a kind when they stand in it or near it, and words that speak against it.
+GAZETTEER = {
+    ("contact", 1): """gmail googlemail yahoo hotmail outlook aol icloud proton protonmail gmx live msn yandex zoho fastmail tutanota mail
+        com org net edu""",
+    ("contact", -1): "look looked looking arrive arrived noon night least once home school stop stopped",
+    ("number", 1): """james mary john maria anna peter paul robert michael linda david elizabeth william barbara richard susan joseph jessica
+        thomas sarah charles karen daniel nancy marie jean pierre hans karl jose juan luis carmen london paris berlin madrid rome vienna
+        dublin lisbon boston chicago dallas denver houston phoenix seattle""",
+    ("number", -1): "isbn issn order invoice version sku build model serial issue page pages figure table ratio score copyright rev",
+    ("secret", 1): "aws amazon github gitlab stripe slack google azure ssh jdbc mysql postgres redis mongodb docker jenkins admin root prod production",
+    ("secret", -1): "example placeholder changeme dummy sample lorem your test mock fake",
+}
+#: Words that a gazetteer may hold, as every task holds it, and characters on each side of a candidate that it is looked up in.
+MOST_WORDS, NEAR = 1000, 40
 _STRICT = {
     "contact": r"(?i)(?:\[at\]|\(at\)).*(?:\[dot\]|\(dot\))",
     "number": r"^\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[0-9]{3}-[0-9]{3}-[0-9]{4}$",
@@ -101,7 +117,32 @@ def base_spans(df: DataFrame) -> DataFrame:
     return df.withColumns({f"s_{k}": F.expr(f"filter(s_{k}, x -> {c})") for k, c in checks.items()})
 
 
-def _candidates(df: DataFrame) -> DataFrame:
+def gazetteer_words(table: DataFrame | None = None) -> dict[tuple[str, int], list[str]]:
+    """(kind, vote 1 or -1) -> words, of GAZETTEER or of a table (kind, word, vote) of MOST_WORDS rows at most.
+
+    Words are compared in lower case (A-Z); rows with a null are passed over. A larger table is an error.
+    """
+    if table is None:
+        return {k: w.split() for k, w in GAZETTEER.items()}
+    rows = table.select("kind", "word", "vote").limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"a gazetteer has {MOST_WORDS} words at most")
+    out: dict[tuple[str, int], list[str]] = {}
+    for kind, word, vote in rows:
+        if None not in (kind, word, vote):
+            out.setdefault((kind, int(vote)), []).append(word)
+    return out
+
+
+def _looked_up(kind: str, words: dict[tuple[str, int], list[str]]) -> str:
+    """SQL: the vote of the words in and around candidate x of text; words that speak against it count first."""
+    listed = lambda vote: sorted({re.sub(r"[^a-z0-9]", "", w.lower()) for w in words.get((kind, vote), ())} - {""})
+    near = f"split(lower(substr(text, greatest(x.start - {NEAR - 1}, 1), x.end - greatest(x.start - {NEAR}, 0) + {NEAR})), '[^a-z0-9]+')"
+    has = lambda vote: f"arrays_overlap(near, array({', '.join(repr(w) for w in listed(vote))}))" if listed(vote) else "false"
+    return _let("near", near, f"case when {has(-1)} then -1 when {has(1)} then 1 else 0 end")
+
+
+def _candidates(df: DataFrame, words: dict[tuple[str, int], list[str]]) -> DataFrame:
     """df with base spans -> cands: array of candidates apart from base spans, each with its votes and classes."""
     df = _located(df, ADDED)
     df = df.withColumns({"base": F.concat(*[F.transform(f"s_{k}", lambda x: F.struct(x["start"], x["end"])) for k in BASE])})
@@ -113,7 +154,7 @@ def _candidates(df: DataFrame) -> DataFrame:
         parts.append(
             f"""transform(filter(s_{k}, x -> {free}), x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end,
             'v_shape', if(x.match rlike r'{_STRICT[k]}', 1, -1),
-            'v_gazetteer', case when x.match rlike r'{_CUES}' then 1 when x.match rlike r'^[0-9]+$' then -1 else 0 end,
+            'v_gazetteer', {_looked_up(k, words)},
             'v_context', case when {before} rlike r'{_CUES}[^0-9A-Za-z]{{0,4}}(?:is|was|no|nr)?[^0-9A-Za-z]{{0,4}}$' then 1 when {before} rlike r'[0-9]\\x20?$' then -1 else 0 end,
             'v_mix', case when x.match rlike '[0-9]' and x.match rlike '[A-Za-z]' then 1 when '{k}' = 'number' and {share} > 0.6 then 1 when {share} = 0 then -1 else 0 end,
             'long', least(length(x.match) div 8, 5), 'digits', cast(floor({share} * 4) as int)))"""
@@ -193,16 +234,17 @@ def _accepted(w: np.ndarray) -> str:
     return f"{' + '.join(terms)} > {limit!r}D"
 
 
-def spans(df: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
+def spans(df: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Adds to df(text, ...) `base` and `added`: arrays of struct<kind, start, end>, by kind as listed, then start.
 
-    A null text counts as empty. `apart` names columns that the training pass can leave out.
+    A null text counts as empty. The training pass reads texts alone. gazetteer: see gazetteer_words().
     """
+    words = gazetteer_words(gazetteer)
     df = df.withColumns({"text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    train_on = _candidates(base_spans(df.select("text")))
+    train_on = _candidates(base_spans(df.select("text")), words)
     votes = train_on.select(F.explode("cands").alias("c")).select("c.*").groupBy("kind", *VOTES, "long", "digits").agg(F.count("*").alias("n"))
     w = train(votes)
-    out = _candidates(base_spans(df)).withColumns({"cands": F.expr(f"filter(cands, x -> {_accepted(w)})") if w.any() else F.expr("filter(cands, x -> false)")})
+    out = _candidates(base_spans(df), words).withColumns({"cands": F.expr(f"filter(cands, x -> {_accepted(w)})") if w.any() else F.expr("filter(cands, x -> false)")})
     tag = lambda k: F.transform(f"s_{k}", lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     added = F.transform("cands", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return out.withColumns({"base": F.concat(*map(tag, BASE)), "added": added})
@@ -212,21 +254,26 @@ def _joined(column: str) -> Column:
     return F.expr(f"array_join(transform({column}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
 
 
-def private_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs (doc_id, text)."""
-    found = spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+def private_data(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs (doc_id, text).
+
+    A null text counts as empty: no spans, and the digest of an empty list. Rows are read one by one, so equal rows and
+    rows with a null or repeated doc_id have equal results of their own. An empty table gives an empty one: the span
+    classifier then accepts nothing. Other columns are ignored, whatever their names.
+    """
+    found = spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gazetteer)
     counts = [F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("concat(base, added)").alias("spans"))
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; of overlapping spans the first one names them.
 
     Other columns stay; n_chars, where there is one, becomes the new text's length. A null text stays null.
     """
     names = docs.columns
     held = docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_rest"), F.col("text").isNull().alias("_null"))
-    found = spans(held).withColumns({"all": F.expr("array_sort(transform(concat(base, added), x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))")})
+    found = spans(held, gazetteer).withColumns({"all": F.expr("array_sort(transform(concat(base, added), x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))")})
     cut = """aggregate(all, named_struct('at', 0, 'parts', cast(array() as array<string>)), (a, x) -> named_struct(
         'at', greatest(a.at, x.end),
         'parts', if(x.start < a.at, a.parts, concat(a.parts, array(substr(text, a.at + 1, x.start - a.at), concat('[', upper(x.kind), ']'))))),

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from gleaner.llm import pii
 from gleaner.llm.pii import private_data, redacted, reliabilities
 
 SCHEMA = "doc_id long, text string, n_email string"
@@ -99,3 +100,21 @@ def test_addresses_with_parts_of_zeros_alone(spark):
     assert all(got[i][1] == (1 if i < 100 else 0) for i in got)
     texts = [r.text for r in redacted(spark.createDataFrame(rows[: len(found)], SCHEMA)).collect()]
     assert texts == ["from [IP] on"] * len(found)
+
+
+def test_gazetteer_votes(spark):
+    texts = ["call james 555-123-4567 now", "order 555-123-4567 shipped", "nothing 555-123-4567 here", "ann [at] gmail [dot] com", "password=hunter2hunter2 placeholder", "aws secret=abcd1234efgh5678"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = pii._candidates(pii.base_spans(df), pii.gazetteer_words()).selectExpr("i", "transform(cands, c -> c.v_gazetteer) as v").orderBy("i").collect()
+    assert [r.v for r in rows] == [[1], [-1], [0], [1], [-1], [1]]
+    own = spark.createDataFrame([("number", "Nothing", 1), ("number", None, 1), ("number", "call", -1)], "kind string, word string, vote int")
+    rows = pii._candidates(pii.base_spans(df), pii.gazetteer_words(own)).selectExpr("i", "transform(cands, c -> c.v_gazetteer) as v").orderBy("i").collect()
+    assert [r.v for r in rows] == [[-1], [0], [1], [0], [0], [0]]
+
+
+def test_repeats_nulls_long_texts_and_empty_tables(spark):
+    rows = [(1, None, 5), (1, "a@b.co 10.0.0.1", 5), (1, "a@b.co 10.0.0.1", 5), (None, "a@b.co", 5), (2, "", 5), (3, "word " * 100_000 + "a@b.co", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = sorted((str(r.doc_id), r.n_email, r.n_ip, r.spans) for r in pii.private_data(df).collect())
+    assert got == sorted([("1", 0, 0, ""), ("1", 1, 1, "email:0:6,ip:7:15"), ("1", 1, 1, "email:0:6,ip:7:15"), ("None", 1, 0, "email:0:6"), ("2", 0, 0, ""), ("3", 1, 0, "email:500000:500006")])
+    assert pii.private_data(df.limit(0)).collect() == [] and pii.redacted(df.limit(0)).columns == df.columns
