@@ -73,6 +73,12 @@ def fuzzy_of(whole: Column, a: Column, b: Column) -> Column:
     return (best + whole) / 2
 
 
+def text_similarity(a: Column, b: Column, embed: Callable[[Column], Column] = hashed_embedding, fuzzy: bool = False) -> Column:
+    """The cosine of two texts, or with `fuzzy` their fuzzy cosine, and the plain one where that is null; 0 without vectors."""
+    plain = F.coalesce(cosine(embed(a), embed(b)), F.lit(0.0))
+    return F.coalesce(fuzzy_cosine(a, b, embed), plain) if fuzzy else plain
+
+
 def both_single(a: Column, b: Column) -> Column:
     return (F.size(text_words(a)) == 1) & (F.size(text_words(b)) == 1)
 

@@ -175,6 +175,13 @@ _DECLARED = {
 }
 
 
+def concept_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each JSON concept's structure as a schema, with a list of objects among its fields."""
+    structures = {c["name"]: c["structure"] for c in _JSON["concepts"]}
+    rows = [(name, concepts.structure_schema(s).simpleString()) for name, s in structures.items()]
+    return spark.createDataFrame(rows, "name string, schema string")
+
+
 def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(n, round(providers.delay(n, 0.5), 6), round(providers.slow_delay(n, 0.5), 6)) for n in range(8)]
     return spark.createDataFrame(rows, "attempt long, quick double, slow double")
@@ -213,6 +220,7 @@ QUERIES = {
     "column_order": (column_order, _VALUES([("several", "PID,n_name,n_nationkey"), ("one", "n_nationkey,n_name,PID"), ("paired", "price,status"), ("manual", "unit")], "of, columns").replace("t(of,", 't("of",')),
     "empty_statistics": (empty_statistics, "SELECT * FROM (VALUES ('Matched_Scenarios', 0e0), ('Unmatched_Scenarios', 0e0)) AS t(statistic, value) UNION ALL SELECT n || '_' || s, NULL FROM (VALUES " + ", ".join(f"('{n}')" for n in (*statistics.SIMILARITIES.values(), *statistics.GAPS.values())) + ") AS a(n), (VALUES ('Mean'), ('Min'), ('Max')) AS b(s)"),
     "declared_types": (declared_types, _VALUES([(d, *k) for d, k in _DECLARED.items()], "declared, strict, lenient")),
+    "concept_schemas": (concept_schemas, "SELECT * FROM (VALUES ('Site', 'struct<Nation:string,Area:array<double>>'), ('Price', 'struct<items:array<struct<Total:double>>>')) AS t(name, schema)"),
     "retry_delays": (retry_delays, "SELECT n AS attempt, CAST(least(20, 2 ** n) AS DOUBLE) AS quick, CAST(5 * 2 ** n * 1.25 AS DOUBLE) AS slow FROM range(8) AS t(n)"),
     "wide_comparison": (wide_comparison, _VALUES(list(enumerate(_WIDE)), "pos, name")),
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.vectors import stop_words
+from gleaner.functions.values import equality_ratio
+from gleaner.functions.vectors import stop_words, text_similarity
 from gleaner.operators import metrics, ranking, topics
 from gleaner.plans import topic_ranking
 from gleaner.queries import _fixtures as fx
@@ -40,6 +41,24 @@ def fuzzy_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.fuzzy_by_lookup(*_names(spark, sf_dir)).select("a", "b", F.round("fuzzy", 6).alias("fuzzy"))
 
 
+def similarity_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of cells whose texts are compared by letters, plainly and fuzzily."""
+    rows = fx.derived(spark, sf_dir, fx.MEASURES).select("id", F.coalesce("v", F.lit("")).alias("a"), F.concat(F.lit("about "), F.coalesce("v", F.lit("none"))).alias("b"))
+    ratio = lambda fuzzy: F.round(equality_ratio("a", "b", text_similarity(F.col("a"), F.col("b"), fx.letters, fuzzy)), 6)
+    return rows.select("id", ratio(False).alias("plain"), ratio(True).alias("fuzzy"))
+
+
+def topic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a topic asks for, from its words."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.slice(topics.content_words(F.col("text")), 1, topics.TERMS).alias("w"))
+    return words.select("doc_id", topics.topic_query(F.col("w")).alias("query"))
+
+
+def stop_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = ["while", "&", "don't", "needn", "zebra", "Not", "y"]
+    return spark.createDataFrame([(w, w in stop_words()) for w in asked] + [("count", len(set(stop_words())) == len(stop_words()) == 180)], "word string, listed boolean")
+
+
 def topic_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topics.term_weights(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("term", "documents", "occurrences", F.round("idf", 6).alias("idf"))
@@ -80,6 +99,10 @@ QUERIES = {
     "topic_tfidf": (topic_tfidf, f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), t AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
         c AS (SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM t GROUP BY term), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents)
         SELECT term, documents, occurrences, round(ln((1 + n) / (1 + documents)) + 1, 6) AS idf FROM c, n WHERE documents >= 5 AND documents <= 0.8 * n"""),
+    "similarity_dispatch": (similarity_dispatch, fx.with_ctes({"m": fx.duck(fx.MEASURES), "cells": "SELECT id, coalesce(v, '') AS a, 'about ' || coalesce(v, 'none') AS b FROM m", **fx.duck_fuzzy("cells")},
+        "SELECT id, round(coalesce(plain, 0), 6) AS plain, round(coalesce(fuzzy, plain, 0), 6) AS fuzzy FROM cells JOIN fuzzy USING (a, b)")),
+    "topic_queries": (topic_queries, f"SELECT doc_id, array_to_string({_WORDS}[1:10], ', ') AS query FROM documents"),
+    "stop_word_list": (stop_word_list, """SELECT * FROM (VALUES ('while', true), ('&', true), ('don''t', true), ('needn', true), ('zebra', false), ('Not', false), ('y', true), ('count', true)) AS t(word, listed)"""),
     "topic_clusters": (topic_clusters, None),
     "topic_clusters_by_vector": (topic_clusters_by_vector, None),
     "topic_ranks": (topic_ranks, None),
