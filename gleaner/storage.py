@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,12 +13,14 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, on one machine, a new one."""
+    """The folder in spark.checkpoint.dir; where it is unset, on one machine, a new one that goes when Python ends."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{_KEY} must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
+        folder = tempfile.mkdtemp(prefix="gleaner-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
 
