@@ -21,9 +21,8 @@ def content_words(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Words and pairs of neighbouring words."""
-    words = content_words(text)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+    pair = lambda ws: F.transform(F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.element_at(ws, i + 1), w))
+    return let(content_words(text), lambda ws: F.concat(ws, pair(ws)))
 
 
 def term_weights(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -33,7 +32,7 @@ def term_weights(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, max_s
     stands first, so rows move once, by term, with partial sums. documents: doc_id (unique), text.
     """
     n = documents.count()
-    marked = let(F.array_sort(terms(F.coalesce("text", F.lit("")))), lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.element_at(ts, F.greatest(i, F.lit(1))) == t), 0).otherwise(1).alias("new"))))
+    marked = let(F.sort_array(terms(F.coalesce("text", F.lit("")))), lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.element_at(ts, F.greatest(i, F.lit(1))) == t), 0).otherwise(1).alias("new"))))
     found = documents.select(F.explode(marked).alias("x")).select("x.*").groupBy("term").agg(F.sum("new").alias("documents"), F.count("*").alias("occurrences"))
     kept = found.where((F.col("documents") >= min_documents) & (F.col("documents") <= max_share * n))
     return kept.withColumn("idf", F.log((1 + F.lit(float(n))) / (1 + F.col("documents"))) + 1)
