@@ -4,8 +4,9 @@ Equal vectors are one node, with its least members kept, so a vector that a thir
 graph starts from blocks of random-projection leaves. Each pass samples every node's new and old neighbours in both
 directions, joins them at the node (neighbours of neighbours), and sends only pairs nearer than what a side already
 has. Vectors travel as they are given, in single precision and unscaled, and every distance is computed in double
-precision, so rows of a far larger size change nothing for the others. Search keeps a beam per query, expands its best
-unexpanded nodes by a join with the graph, and stops when the beam has none left.
+precision, so rows of a far larger size change nothing for the others. Search keeps a beam per query, which begins
+with the nearest of some pivots; each turn expands all nodes of the beam that are not yet expanded by a join with the
+graph, and the search stops when the beam has none left.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm._io import written
+from gleaner.llm._io import spread_join, written
 
-DEGREE, SAMPLE, TREES, LEAF, PASSES, STOP = 24, 8, 4, 192, 8, 0.01
-BEAM, EXPAND, PIVOTS = 48, 8, 64
+DEGREE, SAMPLE, TREES, LEAF, PASSES, STOP = 24, 14, 4, 192, 8, 0.01
+BEAM, PIVOTS, ENTRIES = 256, 64, 12
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -179,31 +180,45 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["query_id", "id", "d"])
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+def _entries(ids: np.ndarray, pivots: np.ndarray):
+    """Each query's nearest pivots, ENTRIES of them, with their distances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column(1), np.float32).astype(np.float64)
+            n, k = len(m), min(ENTRIES, len(ids))
+            d = np.stack([np.sqrt(((m - p) ** 2).sum(axis=1)) for p in pivots], axis=1) if n else np.zeros((0, len(ids)))
+            near = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+            asked = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, k)), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(d, near, 1).ravel())], ["query_id", "id", "d"])
+
+    return run
+
+
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     """nodes: id, v; graph: u, b, d; queries: query_id, start (its own node, or null), q. Returns the visited (query_id, id, d).
 
     Both directions of an edge are walked, of the reverse one the nearest DEGREE. Entries are the query's own node, if
-    it is indexed, and PIVOTS nodes of the least hashes.
+    it is indexed, and the nearest of PIVOTS nodes of the least hashes, which every task holds.
     """
     back = graph.select(F.col("b").alias("u"), F.col("u").alias("b"), "d").withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("d", "b"))).where(F.col("r") <= DEGREE).drop("r")
     ways = written(graph.select("u", "b", "d").unionByName(back).select("u", "b").distinct(), "ann-ways")
-    pivots = nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(PIVOTS)
-    distances = lambda pairs: pairs.join(queries.select("query_id", "q"), "query_id").join(nodes.select("id", "v"), "id").select("query_id", "id", "q", "v").mapInArrow(_exact, "query_id long, id long, d double")
-    ids = [r.id for r in pivots.collect()]  # PIVOTS at most
-    entries = queries.select("query_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("id")) if ids else queries.select("query_id", F.col("start").alias("id")).limit(0)
-    entries = entries.unionByName(queries.where("start is not null").select("query_id", F.col("start").alias("id"))).distinct()
-    seen = written(distances(entries).withColumn("done", F.lit(False)), "ann-beam")
+    pivots = nodes.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()  # PIVOTS at most
+    ids, matrix = np.array([r.id for r in pivots], np.int64), np.stack([np.frombuffer(r.v, np.float32) for r in pivots]).astype(np.float64)
+    own = queries.where("start is not null").select("query_id", F.col("start").alias("id"), F.lit(0.0).alias("d"))
+    entries = queries.select("query_id", "q").mapInArrow(_entries(ids, matrix), "query_id long, id long, d double").join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    seen = entries.unionByName(own).withColumn("done", F.lit(False))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
     while True:  # each turn expands nodes for good, so it ends
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
-        ranked = seen.withColumn("r", place)
-        front = ranked.where((F.col("r") <= beam) & ~F.col("done")).withColumn("e", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("e") <= expand).select("query_id", "id")
-        front = written(front, "ann-front")
+        within = place <= beam
+        seen = written(seen.withColumn("_in", within).select("query_id", "id", "d", (F.col("done") | F.col("_in")).alias("done"), (F.col("_in") & ~F.col("done")).alias("now")), "ann-beam")
+        front = seen.where("now").select("query_id", F.col("id").alias("u"))
         if front.isEmpty():
-            break
-        reached = front.join(ways, front.id == ways.u).select("query_id", F.col("b").alias("id")).distinct().join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        old = seen.join(front.withColumn("now", F.lit(True)), ["query_id", "id"], "left").select("query_id", "id", "d", (F.col("done") | F.col("now").isNotNull()).alias("done"))
-        seen = written(old.unionByName(distances(reached).withColumn("done", F.lit(False))), "ann-beam")
-    return seen.select("query_id", "id", "d")
+            return seen.select("query_id", "id", "d")
+        reached = front.join(ways, "u").select("query_id", F.col("b").alias("id")).distinct().join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        pairs = reached.join(nodes.select("id", "v"), "id").join(queries.select("query_id", "q"), "query_id").select("query_id", "id", "q", "v")
+        new = pairs.mapInArrow(_exact, "query_id long, id long, d double").withColumn("done", F.lit(False))
+        seen = seen.drop("now").unionByName(new)
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
@@ -233,5 +248,5 @@ def _nearest(rows: DataFrame, every: int, k: int) -> DataFrame:
     found = search(nodes, graph, asked)
     rank = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy("d", by))
     top = found.withColumn("r", rank("id")).where(F.col("r") <= k + 1).select("query_id", "id", "d")
-    out = top.join(members, "id").where("vec_id <> query_id").withColumn("rank", rank("vec_id")).where(F.col("rank") <= k)
+    out = spread_join(written(top, "ann-top"), members, ["id"]).where("vec_id <> query_id").withColumn("rank", rank("vec_id")).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("d").alias("score"))
