@@ -206,7 +206,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
     pivots = nodes.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()  # PIVOTS at most
     ids, matrix = np.array([r.id for r in pivots], np.int64), np.stack([np.frombuffer(r.v, np.float32) for r in pivots]).astype(np.float64)
     own = queries.where("start is not null").select("query_id", F.col("start").alias("id"), F.lit(0.0).alias("d"))
-    entries = queries.select("query_id", "q").mapInArrow(_entries(ids, matrix), "query_id long, id long, d double").join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    entries = queries.select("query_id", "q").mapInArrow(_entries(ids, matrix), "query_id long, id long, d double").join(own.select("query_id", "id").hint("merge"), ["query_id", "id"], "left_anti")
     seen = entries.unionByName(own).withColumn("done", F.lit(False))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
     while True:  # each turn expands nodes for good, so it ends
@@ -215,8 +215,9 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
         front = seen.where("now").select("query_id", F.col("id").alias("u"))
         if front.isEmpty():
             return seen.select("query_id", "id", "d")
-        reached = front.join(ways, "u").select("query_id", F.col("b").alias("id")).distinct().join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        pairs = reached.join(nodes.select("id", "v"), "id").join(queries.select("query_id", "q"), "query_id").select("query_id", "id", "q", "v")
+        # plans that do not turn into others as the table grows
+        reached = front.join(ways.hint("merge"), "u").select("query_id", F.col("b").alias("id")).distinct().join(seen.select("query_id", "id").hint("merge"), ["query_id", "id"], "left_anti")
+        pairs = reached.join(nodes.select("id", "v").hint("merge"), "id").join(queries.select("query_id", "q").hint("merge"), "query_id").select("query_id", "id", "q", "v")
         new = pairs.mapInArrow(_exact, "query_id long, id long, d double").withColumn("done", F.lit(False))
         seen = seen.drop("now").unionByName(new)
 

@@ -80,7 +80,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
     """doc_id, n_tokens, p_<domain> for each domain, rate of every row of docs (doc_id, text).
 
     labels: doc_id, quality, toxic. Tokens are words between white space. A null or blank text has no tokens and is
-    rated by its posteriors like others. Without labelled texts posteriors are even and all rates are equal.
+    rated by its posteriors like others. Without labelled texts posteriors are even and all rates are equal; so are
+    those of equal rows, and rows with a null or repeated doc_id are rated each by its own text. Other columns are
+    ignored, whatever their names. An empty table gives an empty one.
     """
     shares = _shares(targets)
     model = train(docs, labels, domain_label(), len(DOMAINS), most)
@@ -91,7 +93,10 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, most: int = MOST_LABELLED) -> DataFrame:
-    """docs with their rate, without the rows whose rate is zero; texts are read twice and never shuffled."""
+    """docs with their rate, without the rows whose rate is zero; texts are read twice and never shuffled.
+
+    Rows are rated as in mixing_rates(). Columns of any name pass through, but one named `rate` (in any case) is set anew.
+    """
     shares = _shares(targets)
     model = train(docs, labels, domain_label(), len(DOMAINS), most)
     scores = written(classified(docs, model, len(DOMAINS), ["doc_id", "text"]).select(F.col("n_words").alias("n_tokens"), "p"), "mixing-scores")
