@@ -206,15 +206,15 @@ QUERIES = {
         CAST(NULL AS VARCHAR) AS "SCENARIO_SCENARIO_DESCRIPTION", n_name AS "SITE_NAME", CAST(n_regionkey AS VARCHAR) AS "SITE_REGION" FROM nation"""),
     "text_files": (text_files, "SELECT n_name || chr(10) || 'two lines' || chr(10) AS text, CAST(NULL AS VARCHAR) AS error FROM nation"),
     "config_file": (config_file, fx.with_ctes(CONFIG_CTES, "SELECT * FROM grouped")),
-    "json_config_file": (json_config_file, "SELECT * FROM (VALUES (0, 'Site', 'Where', 'Methods', false, 'Nation=str;Area=List[float]'), (1, 'Price', 'Cost', 'Results', true, 'scenario=Literal:scenarios;Total=float')) AS t(pos, name, description, aspect, by_scenario, structure)"),
+    "json_config_file": (json_config_file, "SELECT * REPLACE (CAST(pos AS BIGINT) AS pos) FROM (VALUES (0, 'Site', 'Where', 'Methods', false, 'Nation=str;Area=List[float]'), (1, 'Price', 'Cost', 'Results', true, 'scenario=Literal:scenarios;Total=float')) AS t(pos, name, description, aspect, by_scenario, structure)"),
     "concepts_by_aspect": (concepts_by_aspect, "SELECT * FROM (VALUES ('Methods', false, 'Site'), ('Results', true, 'Price')) AS t(aspect, by_scenario, concepts)"),
-    "aspect_assignment": (aspect_assignment, "SELECT 1 AS pos, 'Price' AS name, 'Results' AS aspect"),
+    "aspect_assignment": (aspect_assignment, "SELECT CAST(1 AS BIGINT) AS pos, 'Price' AS name, 'Results' AS aspect"),
     "scenario_nesting": (scenario_nesting, "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS pid, 'Price' AS concept, o_orderpriority AS scenario, 'Total' AS fields FROM orders"),
     "manual_sheet": (manual_sheet, """SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, CAST(c_custkey AS VARCHAR) AS "PID", c_name AS "SCENARIO NAME", c_mktsegment AS "A_B" FROM customer"""),
     "json_append": (json_append, "SELECT * FROM region UNION ALL SELECT * FROM region WHERE r_regionkey > 1"),
     "failure_report": (failure_report, "SELECT CAST(c_custkey AS VARCHAR) AS pid, '/p/' || c_custkey AS path, 'no \"text\", or none' AS error FROM customer WHERE c_custkey % 50 = 49"),
     "catalog_append": (catalog_append, "SELECT p_partkey AS id, p_size AS size, CAST(NULL AS VARCHAR) AS note, true AS stamped, 'size: not a int' AS faults FROM part WHERE p_partkey % 9 <> 0"),
-    "unnested_concepts": (unnested_concepts, """SELECT n_nationkey AS id, 0 AS pos, 'Site' AS concept, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 1, 'Site', CAST(n_nationkey AS VARCHAR) FROM nation
+    "unnested_concepts": (unnested_concepts, """SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(0 AS BIGINT) AS pos, 'Site' AS concept, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 1, 'Site', CAST(n_nationkey AS VARCHAR) FROM nation
         UNION ALL SELECT n_nationkey, 3, 'Region', CAST(n_regionkey AS VARCHAR) FROM nation WHERE n_nationkey % 2 = 0"""),
     "step_tokens": (step_tokens, "SELECT CAST(conv_id AS VARCHAR) AS pid, role AS step, CAST(sum(coalesce(len(regexp_extract_all(text, '[^\\s\\x0b]+')), 0)) AS BIGINT) AS tokens FROM conversations GROUP BY ALL"),
     "column_order": (column_order, _VALUES([("several", "PID,n_name,n_nationkey"), ("one", "n_nationkey,n_name,PID"), ("paired", "price,status"), ("manual", "unit")], "of, columns").replace("t(of,", 't("of",')),
@@ -222,5 +222,5 @@ QUERIES = {
     "declared_types": (declared_types, _VALUES([(d, *k) for d, k in _DECLARED.items()], "declared, strict, lenient")),
     "concept_schemas": (concept_schemas, "SELECT * FROM (VALUES ('Site', 'struct<Nation:string,Area:array<double>>'), ('Price', 'struct<items:array<struct<Total:double>>>')) AS t(name, schema)"),
     "retry_delays": (retry_delays, "SELECT n AS attempt, CAST(least(20, 2 ** n) AS DOUBLE) AS quick, CAST(5 * 2 ** n * 1.25 AS DOUBLE) AS slow FROM range(8) AS t(n)"),
-    "wide_comparison": (wide_comparison, _VALUES(list(enumerate(_WIDE)), "pos, name")),
+    "wide_comparison": (wide_comparison, _VALUES(list(enumerate(_WIDE)), "pos, name").replace("*", "CAST(pos AS BIGINT) AS pos, name", 1)),
 }
