@@ -148,15 +148,26 @@ def with_defaults(concepts: DataFrame, defaults: dict) -> DataFrame:
     return concepts
 
 
+#: Concepts that a configuration may have, as every task holds them.
+MOST_CONCEPTS = 10_000
+
+
+def _configuration(concepts: DataFrame) -> DataFrame:
+    """concepts, to be broadcast once their number is checked."""
+    if concepts.limit(MOST_CONCEPTS + 1).count() > MOST_CONCEPTS:
+        raise ValueError(f"a configuration has {MOST_CONCEPTS} concepts at most")
+    return F.broadcast(concepts)
+
+
 def extraction_tasks(documents: DataFrame, scenarios: DataFrame, concepts: DataFrame, sections: DataFrame) -> DataFrame:
     """One row per call: pid, scenario_idx, scenario, concept_pos, concept, description, structure, text.
 
     documents: pid, text; scenarios: pid, scenario_idx, scenario; concepts: pos, name, description, aspect,
-    by_scenario, structure (a configuration: a few dozen rows, broadcast); sections: pid, section, section_text.
+    by_scenario, structure (a configuration of MOST_CONCEPTS at most, broadcast); sections: pid, section, section_text.
     Concepts that do not go by scenario are asked once (scenario null), the others for each scenario. The text is the
     section that the aspect names, or the whole text where there is none.
     """
-    few = F.broadcast(concepts.select(F.col("pos").alias("concept_pos"), F.col("name").alias("concept"), "description", "aspect", "by_scenario", "structure"))
+    few = _configuration(concepts.select(F.col("pos").alias("concept_pos"), F.col("name").alias("concept"), "description", "aspect", "by_scenario", "structure"))
     none = F.lit(None)
     once = documents.select("pid").crossJoin(few.where(~F.col("by_scenario"))).select("pid", none.cast("int").alias("scenario_idx"), none.cast("string").alias("scenario"), "concept_pos", "concept", "description", "structure", "aspect")
     each = scenarios.select("pid", F.col("scenario_idx").cast("int").alias("scenario_idx"), "scenario").crossJoin(few.where("by_scenario"))
@@ -209,7 +220,7 @@ def under_scenarios(concepts: DataFrame, scenarios: DataFrame) -> DataFrame:
     """
     names = F.transform(F.array_sort(F.collect_list(F.struct("scenario_idx", "scenario"))), lambda x: x["scenario"])
     listed = scenarios.groupBy("pid").agg(F.array_distinct(names).alias("_names"))
-    few = F.broadcast(concepts.select(F.col("pos").alias("concept_pos"), F.col("name").alias("concept"), "description", "aspect", F.col("structure").alias("_fields")))
+    few = _configuration(concepts.select(F.col("pos").alias("concept_pos"), F.col("name").alias("concept"), "description", "aspect", F.col("structure").alias("_fields")))
     nested = F.map_from_arrays("_names", F.transform("_names", lambda _: F.col("_fields")))
     return listed.crossJoin(few).select("pid", "concept_pos", "concept", "description", "aspect", nested.alias("structure"))
 

@@ -51,7 +51,7 @@ def topics_by_terms(documents: DataFrame, topics: int = TOPICS, seed: int = SEED
     n = prepared.count()
     counts = CountVectorizer(inputCol="terms", outputCol="tf", minDF=float(MIN_DOCUMENTS), maxDF=MAX_SHARE, vocabSize=VOCABULARY).fit(prepared)
     places = documents.sparkSession.createDataFrame([(t, i) for i, t in enumerate(counts.vocabulary)], "term string, place int")
-    by_place = term_weights(documents).join(F.broadcast(places) if len(counts.vocabulary) <= VOCABULARY else places, "term").select("place", "idf").collect()  # a row per term of the model
+    by_place = term_weights(documents).join(F.broadcast(places), "term").select("place", "idf").collect()  # both of VOCABULARY rows at most
     weights = [1.0] * len(counts.vocabulary)
     for r in by_place:
         weights[r.place] = r.idf
