@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm._io import spread_join, written
 
-DEGREE, SAMPLE, TREES, LEAF, PASSES, STOP = 24, 14, 4, 192, 8, 0.01
+DEGREE, SAMPLE, TREES, LEAF, PASSES, STOP = 24, 14, 4, 192, 8, 0.03
 BEAM, PIVOTS, ENTRIES = 256, 64, 12
 
 
@@ -157,7 +157,8 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, sample: int = SAMPLE
     for turn in range(passes):
         pick = F.xxhash64("u", "b", F.lit(turn))
         top = lambda by: F.row_number().over(Window.partitionBy(by, "new").orderBy(pick))
-        chosen = written(graph.withColumn("r", top("u")).where(F.col("r") <= sample).select("u", "b", "new"), "ann-sample")
+        placed = written(graph.withColumn("r", top("u")), "ann-sample")
+        chosen = placed.where(F.col("r") <= sample).select("u", "b", "new")
         back = chosen.withColumn("r", top("b")).where(F.col("r") <= sample).select(F.col("b").alias("center"), F.col("u").alias("id"), "new")
         bound = graph.groupBy("u").agg(F.max("d").alias("far"), F.count("*").alias("k")).select(F.col("u").alias("id"), F.when(F.col("k") >= degree, F.col("far")).otherwise(F.lit(float("inf"))).cast("float").alias("bound"))
         known = nodes.select("id", "v").join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")).cast("float")))
@@ -165,7 +166,7 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, sample: int = SAMPLE
         met = members.join(known, "id").select("center", "id", "new", "bound", "v")
         found = met.repartition(parts, "center").sortWithinPartitions("center").mapInArrow(_grouped(_meet, 1, *_EDGE), "u long, b long, d float")
         # what was sampled as new is old from now on
-        aged = graph.join(chosen.where("new").select("u", "b", F.lit(True).alias("used")), ["u", "b"], "left").select("u", "b", "d", (F.col("new") & F.col("used").isNull()).alias("new"))
+        aged = placed.select("u", "b", "d", (F.col("new") & (F.col("r") > sample)).alias("new"))
         graph = written(_best(aged.unionByName(found.withColumn("new", F.lit(True))), degree), "ann-graph")
         fresh = graph.agg(F.sum(F.col("new").cast("long"))).first()[0] or 0
         if fresh <= STOP * n * degree:
@@ -206,7 +207,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
     pivots = nodes.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()  # PIVOTS at most
     ids, matrix = np.array([r.id for r in pivots], np.int64), np.stack([np.frombuffer(r.v, np.float32) for r in pivots]).astype(np.float64)
     own = queries.where("start is not null").select("query_id", F.col("start").alias("id"), F.lit(0.0).alias("d"))
-    entries = queries.select("query_id", "q").mapInArrow(_entries(ids, matrix), "query_id long, id long, d double").join(own.select("query_id", "id").hint("merge"), ["query_id", "id"], "left_anti")
+    entries = queries.select("query_id", "q").mapInArrow(_entries(ids, matrix), "query_id long, id long, d double").join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
     seen = entries.unionByName(own).withColumn("done", F.lit(False))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))
     while True:  # each turn expands nodes for good, so it ends
@@ -215,9 +216,10 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
         front = seen.where("now").select("query_id", F.col("id").alias("u"))
         if front.isEmpty():
             return seen.select("query_id", "id", "d")
-        # plans that do not turn into others as the table grows
-        reached = front.join(ways.hint("merge"), "u").select("query_id", F.col("b").alias("id")).distinct().join(seen.select("query_id", "id").hint("merge"), ["query_id", "id"], "left_anti")
-        pairs = reached.join(nodes.select("id", "v").hint("merge"), "id").join(queries.select("query_id", "q").hint("merge"), "query_id").select("query_id", "id", "q", "v")
+        # one aggregation drops what is met twice or was seen; the joins' plans do not turn into others as the table grows
+        met = front.join(ways.hint("merge"), "u").select("query_id", F.col("b").alias("id"), F.lit(False).alias("seen")).unionByName(seen.select("query_id", "id", F.lit(True).alias("seen")))
+        reached = met.groupBy("query_id", "id").agg(F.bool_or("seen").alias("seen")).where("not seen").select("query_id", "id")
+        pairs = reached.join(nodes.select("id", "v").hint("merge"), "id").join(queries.select("query_id", "q"), "query_id").select("query_id", "id", "q", "v")
         new = pairs.mapInArrow(_exact, "query_id long, id long, d double").withColumn("done", F.lit(False))
         seen = seen.drop("now").unionByName(new)
 
