@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,7 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests on one machine) a new one.
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests on one machine) a new one that goes when Python ends.
 
     A cluster without that setting is an error: a folder of the driver's machine would not be seen by executors.
     """
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{_KEY} must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
+        folder = tempfile.mkdtemp(prefix="gleaner-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
 
