@@ -173,7 +173,8 @@ def extraction_tasks(documents: DataFrame, scenarios: DataFrame, concepts: DataF
     each = scenarios.select("pid", F.col("scenario_idx").cast("int").alias("scenario_idx"), "scenario").crossJoin(few.where("by_scenario"))
     each = each.select("pid", "scenario_idx", "scenario", "concept_pos", "concept", F.concat("description", F.lit(" - for scenario '"), "scenario", F.lit("'")).alias("description"), "structure", "aspect")
     texts = documents.join(sections.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("section", "section_text"))).alias("of")), "pid", "left")
-    tasks = once.unionByName(each).join(texts, "pid")
+    # the calls of a task are held, as texts are far longer: those pass by and are not sorted
+    tasks = texts.join(once.unionByName(each).hint("shuffle_hash"), "pid")
     return tasks.select("pid", "scenario_idx", "scenario", "concept_pos", "concept", "description", "structure", F.coalesce(F.try_element_at("of", F.col("aspect")), "text").alias("text"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.prose import PARAGRAPH_KEY, RESULT_SECTIONS, SECTIONS, TAILED_SECTIONS, after_references, clean_title, potential_headers, section_between
 from gleaner.functions.values import stripped
-from gleaner.functions.vectors import cosine, fuzzy_cosine, hashed_embedding
+from gleaner.functions.vectors import cosine, fuzzy_cosine, hashed_embedding, let
 from gleaner.storage import stored
 
 LEAST_SIMILARITY = 0.5
@@ -45,14 +45,20 @@ def extracted(documents: DataFrame, sections: tuple[str, ...] = SECTIONS, embed:
     """
     found = headers(documents, sections, embed=embed)
     fits = (F.col("cosine_similarity") >= LEAST_SIMILARITY) | (F.col("fuzzy_cosine_similarity") >= LEAST_SIMILARITY)
-    titles = found.where(fits).groupBy("doc_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("section_pos", "section_title"))), lambda x: x["section_title"])).alias("titles"))
-    rows = found.withColumn("_fits", fits).join(titles, "doc_id", "left").join(documents.select("doc_id", "text"), "doc_id")
-    following = F.try_element_at("titles", (F.array_position("titles", F.col("section_title")) + 1).cast("int"))
-    own = F.when(F.col("_fits"), section_between(F.col("text"), F.col("section_title"), following))
-    tail = after_references(F.col("text"))
-    tailed = F.col("section").isin(*TAILED_SECTIONS) & (own != "") & (tail != "")
-    text = F.when(tailed, F.concat(own, F.lit("\n\n"), tail)).otherwise(own)
-    return rows.select("doc_id", "section_pos", "section", "section_title", "cosine_similarity", "fuzzy_cosine_similarity", text.alias("section_text"))
+    one = F.struct("section_pos", "section", "section_title", "cosine_similarity", "fuzzy_cosine_similarity", fits.alias("fits"))
+    # a text meets its few headers in one row: it moves once, is not sorted, and is cut where it stands
+    of = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("found")).hint("shuffle_hash")
+    titles = F.array_distinct(F.transform(F.filter("found", lambda x: F.coalesce(x["fits"], F.lit(False))), lambda x: x["section_title"]))
+    rows = documents.select("doc_id", "text").join(of, "doc_id").withColumn("titles", titles)
+
+    def cut(x: Column, low: Column, tail: Column) -> Column:
+        following = F.try_element_at("titles", (F.array_position("titles", x["section_title"]) + 1).cast("int"))
+        own = F.when(x["fits"], section_between(F.col("text"), x["section_title"], following, low))
+        tailed = lambda t: F.when(x["section"].isin(*TAILED_SECTIONS) & (t != "") & (tail != ""), F.concat(t, F.lit("\n\n"), tail)).otherwise(t)
+        return F.struct(*[x[c].alias(c) for c in ("section_pos", "section", "section_title", "cosine_similarity", "fuzzy_cosine_similarity")], let(own, tailed).alias("section_text"))
+
+    each = let(F.lower("text"), lambda low: let(after_references(F.col("text")), lambda tail: F.transform("found", lambda x: cut(x, low, tail))))
+    return rows.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")
 
 
 def combined(sections: DataFrame, wanted: tuple[str, ...] = RESULT_SECTIONS) -> DataFrame:

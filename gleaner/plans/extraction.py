@@ -35,9 +35,11 @@ def section_texts(papers: DataFrame, scope: str = "sections") -> DataFrame:
     if scope == "full":
         return papers.sparkSession.createDataFrame([], "pid string, section string, section_text string")
     found = S.extracted(ids)
-    plain = found.where("section_text is not null").select(F.col("doc_id").alias("pid"), "section", "section_text")
+    told = lambda rows: rows.where("section_text is not null").select(F.col("doc_id").alias("pid"), "section", "section_text")
     if scope == "per_section":
-        return plain
+        return told(found)
+    found = stored(found, "extraction-found")  # read by three plans
+    plain = told(found)
     results = S.combined(found).select(F.col("doc_id").alias("pid"), F.lit("Results").alias("section"), F.col("text").alias("section_text"))
     methods = plain.where("section = 'Methods'").select("pid", F.col("section_text").alias("m"))
     both = methods.join(results.select("pid", F.col("section_text").alias("r")), "pid", "full").select("pid", F.lit("Methods_Results").alias("section"), F.concat_ws("\n\n", "m", "r").alias("section_text"))

@@ -29,6 +29,11 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, most: int) -> DataFrame:
+    """df in tasks of about `most` rows: a small file can hold rows that grow large, and Spark cuts by bytes alone."""
+    return df.repartition(max(1, -(-rows // most)), *keys)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: a lost executor costs no recomputation."""
     path = fresh_folder(df.sparkSession, name)
