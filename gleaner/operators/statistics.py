@@ -26,14 +26,17 @@ def pair_statistics(cells: DataFrame) -> DataFrame:
     cells: as from matching.cells(with_pid=True), with cosine (null for the pid pair). Two aggregations: each field's
     facts, then the fields'. Pairs whose score is 0 keep their names and score alone.
     """
-    mine, theirs = ~is_empty("auto_val"), ~is_empty("manual_val")
     keys = ["pid", "scenario", "scenario_manual"]
-    named = cells.where("pid is not null and scenario is not null").withColumn("scenario_manual", F.coalesce("scenario_manual", F.lit("")))
+    named = cells.where("pid is not null and scenario is not null").select(
+        "pid", "scenario", F.coalesce("scenario_manual", F.lit("")).alias("scenario_manual"), "field", "pos", "score",
+        (~is_empty("auto_val")).alias("mine"), (~is_empty("manual_val")).alias("theirs"), _within("cosine").alias("within"),
+    )
+    mine, theirs = F.col("mine"), F.col("theirs")
     by_field = named.groupBy(*keys, "field", "pos").agg(
         F.max("score").alias("score"), F.count("*").alias("n"),
         F.count_if(~theirs).alias("manual_empty"), F.count_if(~mine).alias("auto_empty"),
         F.bool_or(theirs & ~mine).alias("manual_not_auto"), F.bool_or(mine & ~theirs).alias("auto_not_manual"),
-        F.sum(_within("cosine")).alias("s"), F.count(_within("cosine")).alias("k"),
+        F.sum("within").alias("s"), F.count("within").alias("k"),
     )
     missing = F.array_sort(F.collect_list(F.when(F.col("manual_not_auto"), F.struct("pos", "field"))))
     by_pair = by_field.groupBy(*keys).agg(

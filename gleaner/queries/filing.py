@@ -189,7 +189,7 @@ def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of a wide comparison, in their order."""
-    found = comparison.compare(fx.derived(spark, sf_dir, fx.AUTO), fx.derived(spark, sf_dir, fx.MANUAL), embed=fx.letters)
+    found = comparison.compare(*(fx.derived(spark, sf_dir, text, deal=False) for text in (fx.AUTO, fx.MANUAL)), embed=fx.letters)
     names = comparison.wide_cells(found, ["price", "status"]).columns
     return spark.createDataFrame(list(enumerate(names)), "pos long, name string")
 
