@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -71,11 +71,50 @@ def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
+def _ratio_bound(a: str, b: str) -> float:
+    """What the ratio of two texts is at most: the share of letters that both have, in whatever order."""
+    return 2.0 * sum(min(a.count(c), b.count(c)) for c in set(a)) / (len(a) + len(b)) if a or b else 1.0
+
+
+def _contending(ids: Iterable, left: Iterable[str | None], right: Iterable[str | None], least: float) -> list[float | None]:
+    """sequence_ratio of pairs that can be over `least` and the best of their id; null for others.
+
+    Pairs go by falling bound, so that most of an id's pairs need no ratio. One that is as good as the best has its ratio.
+    """
+    rows = list(zip(ids, left, right, strict=True))
+    bounded = [(i, x, a.lower(), b.lower()) for i, (x, a, b) in enumerate(rows) if a is not None and b is not None]
+    bounded = sorted(((_ratio_bound(a, b), i, x, a, b) for i, x, a, b in bounded), key=lambda p: -p[0])
+    out: list[float | None] = [None] * len(rows)
+    best: dict = {}
+    for bound, i, x, a, b in bounded:
+        if bound > least and bound >= best.get(x, least):
+            out[i] = difflib.SequenceMatcher(None, a, b).ratio()
+            best[x] = max(out[i], best.get(x, least))
+    return out
+
+
+def contending_ratio(least: float) -> Callable[[Column, Column, Column], Column]:
+    """A function of id, left and right: sequence_ratio where the pair can be over `least` and the best of its id, else null.
+
+    Only pairs that come in one batch are held against each other, so an id may have more ratios than its best one.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, left, right in rows:
+            yield pd.Series(_contending(ids, left, right, least), dtype="float64")
+
+    return ratio
+
+
 def best_titles(references: DataFrame, candidates: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
     """ref_id, title, cand_pos, cand_title, ratio: of each reference's own candidates the closest title, if close enough.
 
-    references: ref_id, title; candidates: ref_id, cand_pos, cand_title. Ties go to the lesser place.
+    references: ref_id, title; candidates: ref_id, cand_pos, cand_title. Ties go to the lesser place. A reference's
+    candidates come together from the join, which sorts them, and those that cannot be its closest are told without
+    matching. Rows are matched where the join puts them, not in the few tasks that a small file is read by.
     """
-    scored = references.join(candidates, "ref_id").withColumn("ratio", sequence_ratio("title", "cand_title")).where(F.col("ratio") > least)
+    met = references.hint("merge").join(candidates, "ref_id")
+    scored = met.withColumn("ratio", contending_ratio(least)(F.col("ref_id"), F.col("title"), F.col("cand_title"))).where(F.col("ratio") > least)
     best = scored.groupBy("ref_id").agg(F.max_by(F.struct("title", "cand_pos", "cand_title", "ratio"), F.struct("ratio", -F.col("cand_pos"))).alias("b"))
     return best.select("ref_id", "b.*")
