@@ -97,11 +97,11 @@ def scenario_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manual_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook with two header rows, whose third column comes twice."""
-    rows = _table(spark, sf_dir, "customer").orderBy("c_custkey").select(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment", F.lit("again").alias("x"))
-    heads = spark.createDataFrame([("pid", "scenario name", "b", "b")], rows.schema)
+    """Workbooks with two header rows, whose third column comes twice; as many as the rows need."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("pid"), "c_name", "c_mktsegment", F.lit("again").alias("x"))
+    heads = ["pid", "scenario name", "b", "b"]
     path = f"{fresh_folder(spark, 'manual')}.xlsx"
-    workbooks.write_workbook(path, {"Other": heads, "Manual": heads.coalesce(1).unionByName(rows.coalesce(1)).toDF("Metadata", "Study details", "a", "a ")})
+    workbooks.write_workbooks(path, "Manual", [["Metadata", "Study details", "a", "a "], heads], rows, [F.col("pid").cast("long")], {"Other": (["c_custkey", "c_name", "c_mktsegment", "x"], [heads])})
     return readers.table_with_headers(spark, path, [0, 1], sheet="Manual").select("idx", "PID", "SCENARIO NAME", "A_B")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from gleaner.operators.concepts import CONFIG_COLUMNS, SCENARIO_LITERAL
 from gleaner.operators.flatten import RENAMED, parsed_results
 from gleaner.sources import pdf
-from gleaner.sources.workbooks import workbook_rows
+from gleaner.sources.workbooks import workbook_parts
+from gleaner.storage import stored
 
 _STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
@@ -82,25 +84,31 @@ def table_with_headers(spark: SparkSession, path: str, header_rows: int | list[i
     row or by several, joined by `_`, in upper case. Of columns with the same name the first one stays.
 
     header_rows counts from 0; rows above the last header row are left out. Adds idx, a row's place. Such a table is
-    made by hand, so it is one file and one partition.
+    made by hand, so it is one file and one partition; a folder of workbooks with the same header rows is one table, too,
+    whose parts follow each other by name. Workbooks are read once.
     """
     heads = [header_rows] if isinstance(header_rows, int) else sorted(header_rows)
     if PurePosixPath(path).suffix.lower() == ".xlsx":
-        cells = workbook_rows(spark, path, sheet)
+        cells = stored(workbook_parts(spark, path, sheet), "workbook-cells")
         width = cells.agg(F.max(F.size("cells"))).first()[0] or 0
-        raw = cells.select(*[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(width)], "idx")
+        raw = cells.select(*[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(width)], "part", "idx")
     else:
-        raw = spark.read.csv(path, header=False, multiLine=True, escape='"', sep=separator).withColumn("idx", F.monotonically_increasing_id())
-    top = {r["idx"]: r for r in raw.where(F.col("idx").isin(*heads)).collect()}
+        raw = spark.read.csv(path, header=False, multiLine=True, escape='"', sep=separator).withColumns({"part": F.lit(""), "idx": F.monotonically_increasing_id()})
+    tops = raw.where(F.col("idx").isin(*heads)).collect()
+    top = {r["idx"]: r for r in tops if r["part"] == min(t["part"] for t in tops)}
     names: list[str] = []
-    for c in raw.columns[:-1]:
+    for c in raw.columns[:-2]:
         parts = [str(top[h][c]).strip() for h in heads if h in top and top[h][c] is not None and str(top[h][c]).strip()]
         name = "_".join(parts).upper()
         name = RENAMED.get(name, name) or c.upper()
         names.append(name)
     first = [i for i, n in enumerate(names) if n not in names[:i]]
-    body = raw.where(F.col("idx") > heads[-1])
-    return body.select((F.col("idx") - heads[-1] - 1).alias("idx"), *[F.col(raw.columns[i]).alias(names[i]) for i in first])
+    body, place = raw.where(F.col("idx") > heads[-1]), F.col("idx") - heads[-1] - 1
+    if len({t["part"] for t in tops}) > 1:
+        sizes = sorted(body.groupBy("part").agg(F.max("idx") - heads[-1]).collect())
+        starts = [(r[0], n) for r, n in zip(sizes, itertools.accumulate((r[1] for r in sizes), initial=0), strict=False)]
+        body, place = body.join(F.broadcast(spark.createDataFrame(starts, "part string, _first long")), "part"), place + F.col("_first")
+    return body.select(place.alias("idx"), *[F.col(raw.columns[i]).alias(names[i]) for i in first])
 
 
 def config_rows(spark: SparkSession, path: str) -> DataFrame:

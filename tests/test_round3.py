@@ -5,9 +5,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.functions import values
 from gleaner.operators import matching, metrics, papers
+from gleaner.sources import readers, workbooks
 
 
 def _number(text):
@@ -89,3 +91,22 @@ def test_titles_are_matched_where_their_references_come_together(spark):
     found = papers.best_titles(refs, cands)
     assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [(1, "one title", 0, "One title", 1.0)]
+
+
+def test_a_long_table_is_written_as_several_workbooks_and_read_as_one(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(workbooks, "PART_ROWS", 7)
+    monkeypatch.setattr(workbooks, "HELD_ROWS", 2)
+    monkeypatch.setattr(workbooks, "MOST_ROWS", 10)
+    rows = spark.range(0, 33, numPartitions=5).selectExpr("cast(32 - id as string) as pid", "if(id % 4 = 0, null, 'a\\u0001b') as x")
+    workbooks.write_workbooks(f"{tmp_path}/t.xlsx", "Manual", [["Study", "x"], ["pid", "y"]], rows, [F.col("pid").cast("long")], {"Other": (["x"], [[1]])})
+    assert len(list((tmp_path / "t.xlsx").glob("part-*.xlsx"))) == 5
+    found = readers.table_with_headers(spark, f"{tmp_path}/t.xlsx", [0, 1], sheet="Manual")
+    got = sorted((r["idx"], r["STUDY_PID"], r["X_Y"]) for r in found.collect())
+    assert got == [(i, str(i), None if i % 4 == 0 else "a b") for i in range(33)]
+
+
+def test_an_empty_table_is_one_workbook_with_its_headers(spark, tmp_path):
+    rows = spark.range(0).selectExpr("cast(id as string) as pid", "'' as x")
+    workbooks.write_workbooks(f"{tmp_path}/t.xlsx", "Manual", [["a", "b"]], rows, [F.col("pid")])
+    found = readers.table_with_headers(spark, f"{tmp_path}/t.xlsx", 0, sheet="Manual")
+    assert found.count() == 0 and found.columns == ["idx", "A", "B"]
