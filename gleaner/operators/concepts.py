@@ -6,12 +6,13 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.prose import token_count
 from gleaner.functions.values import flag, stripped
+from gleaner.functions.vectors import let
 
 # Configuration columns, markers and words that mean nothing, and default aspects.
 CONFIG_COLUMNS = ("name", "description", "aspect", "by_scenario", "structure_title", "structure_data_type")
@@ -152,6 +153,14 @@ def with_defaults(concepts: DataFrame, defaults: dict) -> DataFrame:
 MOST_CONCEPTS = 10_000
 
 
+def configured(concepts: DataFrame) -> list[Row]:
+    """concepts as rows, for what every task holds."""
+    rows = concepts.limit(MOST_CONCEPTS + 1).collect()
+    if len(rows) > MOST_CONCEPTS:
+        raise ValueError(f"a configuration has {MOST_CONCEPTS} concepts at most")
+    return rows
+
+
 def _configuration(concepts: DataFrame) -> DataFrame:
     """concepts, to be broadcast once their number is checked."""
     if concepts.limit(MOST_CONCEPTS + 1).count() > MOST_CONCEPTS:
@@ -178,21 +187,16 @@ def extraction_tasks(documents: DataFrame, scenarios: DataFrame, concepts: DataF
     return tasks.select("pid", "scenario_idx", "scenario", "concept_pos", "concept", "description", "structure", F.coalesce(F.try_element_at("of", F.col("aspect")), "text").alias("text"))
 
 
-def assembled(answers: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """pid, results: one result per scenario, the concepts asked once first, then the scenario, then its own concepts.
+def assembled(scenarios: Column, answers: Column) -> Column:
+    """A paper's results, one per scenario: the concepts asked once first, then the scenario, then its own concepts.
 
-    answers: pid, scenario_idx, concept_pos, concept, content (JSON text); scenarios: pid, scenario_idx, scenario,
-    description. A paper's answers are gathered in its own row, as its result document is.
+    scenarios: array of scenario_idx, scenario, description; answers: array of scenario_idx (null: asked once), concept,
+    content (JSON text), in the concepts' order. All of it stands in the paper's row, as its result document does.
     """
-    entry = F.struct("concept_pos", "concept", "content")
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: F.create_map(x["concept"], x["content"]))
-    once = answers.where("scenario_idx is null").groupBy("pid").agg(ordered(entry).alias("shared"))
-    own = answers.where("scenario_idx is not null").groupBy("pid", "scenario_idx").agg(ordered(entry).alias("own"))
-    head = F.array(F.create_map(F.lit("Scenario"), F.to_json(F.struct(F.col("scenario").alias("Scenario Name"), F.col("description").alias("scenario_description")))))
-    none = F.array().cast("array<map<string, string>>")
-    rows = scenarios.join(own, ["pid", "scenario_idx"], "left").join(once, "pid", "left")
-    one = rows.select("pid", "scenario_idx", F.struct(F.concat(F.coalesce("shared", none), head, F.coalesce("own", none)).alias("concepts")).alias("r"))
-    return one.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("scenario_idx", F.col("r.concepts").alias("concepts"))), lambda x, y: x["scenario_idx"] - y["scenario_idx"]), lambda x: F.struct(x["concepts"].alias("concepts"))).alias("results"))
+    said = lambda mine: F.transform(F.filter(answers, mine), lambda x: F.create_map(x["concept"], x["content"]))
+    head = lambda s: F.array(F.create_map(F.lit("Scenario"), F.to_json(F.struct(s["scenario"].alias("Scenario Name"), s["description"].alias("scenario_description")))))
+    own = lambda s: said(lambda x: x["scenario_idx"] == s["scenario_idx"])
+    return let(said(lambda x: x["scenario_idx"].isNull()), lambda once: F.transform(scenarios, lambda s: F.struct(F.concat(once, head(s), own(s)).alias("concepts"))))
 
 
 def by_aspect(concepts: DataFrame) -> DataFrame:

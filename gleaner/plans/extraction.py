@@ -1,4 +1,4 @@
-"""From papers' texts to result documents: sections, scenarios, one row per call, answers, results and failures."""
+"""From papers' texts to result documents: sections, scenarios, calls, answers, results and failures."""
 
 from __future__ import annotations
 
@@ -46,46 +46,31 @@ def section_texts(papers: DataFrame, scope: str = "sections") -> DataFrame:
     return plain.where("section <> 'Results'").unionByName(results).unionByName(both).where("section_text <> ''")
 
 
-def _at_once(papers: DataFrame, scenarios: DataFrame, concepts: DataFrame, sections: DataFrame, extractor: providers.Extractor) -> DataFrame:
-    """The answers of extract(), each concept by scenario being asked once with its structure under every scenario."""
-    plain = C.extraction_tasks(papers, scenarios.limit(0), concepts, sections)
-    nested = C.under_scenarios(concepts.where("by_scenario"), scenarios)
-    of = sections.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("section", "section_text"))).alias("of"))
-    tasks = nested.join(papers, "pid").join(of, "pid", "left").withColumn("text", F.coalesce(F.try_element_at("of", F.col("aspect")), "text")).drop("of", "aspect")
-    told = stored(providers.answered_at_once(tasks, extractor), "extraction-at-once")
-    place = scenarios.groupBy("pid", "scenario").agg(F.min("scenario_idx").alias("scenario_idx"))
-    fields = F.from_json("content", "map<string, string>")
-    each = told.select("pid", "concept_pos", "concept", F.posexplode(F.map_entries(fields)).alias("n", "x"), "prompt_tokens", "completion_tokens", "error")
-    # a call's usage is counted once, with the first of its scenarios
-    usage = [F.when(F.col("n") == 0, F.col(c)).alias(c) for c in ("prompt_tokens", "completion_tokens")]
-    rows = each.select("pid", F.col("x.key").alias("scenario"), "concept_pos", "concept", F.col("x.value").alias("content"), *usage, "error").join(place, ["pid", "scenario"])
-    return providers.answered(plain, extractor).unionByName(rows)
-
-
 def extract(papers: DataFrame, concepts: DataFrame, extractor: providers.Extractor | None = None, done: DataFrame | None = None, scope: str = "sections", model: str = "rules", scenario_mode: str = "loop") -> Extraction:
-    """Runs all calls of all papers (pid, path, text, error) as one table of tasks.
+    """Runs all calls of all papers (pid, path, text, error), those of a paper in its own row.
 
     scenario_mode `loop` asks each concept by scenario for each of them; `schema` asks it once, its structure nested
     under all scenarios. With scope `full` either one needs no sections.
 
-    A paper that could not be read, has no text or has no scenarios fails; others are not touched by it. Answers are
-    written once to the shared folder, so that results, usage and failures do not ask the extractor again.
+    A paper that could not be read, has no text or has no scenarios fails; others are not touched by it. What each paper
+    was asked is written once to the shared folder, in one row, so that results, usage and failures do not ask the
+    extractor again and results move no rows. pid is unique.
     """
     if scenario_mode not in ("loop", "schema"):
         raise ValueError(f"scenario_mode is loop or schema, not {scenario_mode!r}")
-    extractor = extractor or providers.RuleExtractor()
-    todo = unprocessed(papers, done)
-    readable = todo.where("error is null and text is not null")
-    sections = stored(section_texts(readable, scope), "extraction-sections")
-    scenarios = stored(providers.found_scenarios(readable, extractor), "extraction-scenarios")
-    served = readable.join(scenarios.select("pid").distinct(), "pid", "left_semi")
-    texts = served.select("pid", "text")
-    asked = _at_once(texts, scenarios, concepts, sections, extractor) if scenario_mode == "schema" else providers.answered(C.extraction_tasks(texts, scenarios, concepts, sections), extractor)
-    answers = stored(asked, "extraction-answers")
-    usage = C.token_usage(answers)
-    tokens = usage.groupBy("pid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("scope", F.when(F.col("scope") == "total", F.col("total_tokens").cast("string")).otherwise(F.to_json(F.struct("prompt_tokens", "completion_tokens", "total_tokens"))))))).alias("tokens"))
-    results = C.assembled(answers, scenarios).join(tokens, "pid", "left").join(served.select("pid", "path"), "pid")
-    results = results.select("pid", F.struct(F.lit(None).cast("double").alias("exec_time"), "pid", F.col("path").alias("pdf_path"), F.lit(model).alias("model")).alias("metadata"), "tokens", "results")
-    unread = todo.where("error is not null or text is null").select("pid", "path", F.coalesce("error", F.lit("no text")).alias("error"))
-    bare = readable.join(scenarios.select("pid").distinct(), "pid", "left_anti").select("pid", "path", F.lit("no scenarios found").alias("error"))
-    return Extraction(results, usage, unread.unionByName(bare))
+    todo, few = unprocessed(papers, done), C.configured(concepts)
+    texts = todo.select("pid", "path", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
+    if scope == "full":
+        texts = texts.withColumn("of", F.lit(None).cast("map<string, string>"))
+    else:
+        # a call looks up no section but its concept's aspect
+        named = section_texts(todo.where("error is null and text is not null"), scope).where(F.col("section").isin(*{c.aspect for c in few if c.aspect is not None}))
+        texts = texts.join(named.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("section", "section_text"))).alias("of")), "pid", "left")
+    answered = providers.asked(texts, few, extractor or providers.RuleExtractor(), scenario_mode == "schema")
+    # results are put together before they are written: their readers' filters would each do it again
+    told = stored(answered.withColumn("results", C.assembled(F.col("scenarios"), F.col("answers"))), "extraction-told")
+    served = told.where("error is null")
+    usage = C.token_usage(served.select("pid", F.explode("answers").alias("a")).select("pid", "a.*"))
+    metadata = F.struct(F.lit(None).cast("double").alias("exec_time"), "pid", F.col("path").alias("pdf_path"), F.lit(model).alias("model"))
+    results = served.select("pid", metadata.alias("metadata"), "tokens", "results")
+    return Extraction(results, usage, told.where("error is not null").select("pid", "path", "error"))
