@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.vectors import stop_words
 from gleaner.operators import flatten, topics
 from gleaner.plans import extraction, providers
+from gleaner.queries import reading
 
 _CONFIG = "pos long, name string, description string, aspect string, by_scenario boolean, structure array<struct<field: string, type: string>>"
 
@@ -97,3 +98,11 @@ def test_documents_are_dealt_before_their_terms_are_counted(spark, monkeypatch):
     counted = _plain_terms([[w for w in re.findall(r"\w{2,}", (t or "").lower()) if w not in stop_words()] for t in texts])
     kept = {t: (n, m, round(math.log(101 / (1 + n)) + 1, 9)) for t, (n, m) in counted.items() if 5 <= n <= 80}
     assert {r["term"]: (r["documents"], r["occurrences"], round(r["idf"], 9)) for r in found.collect()} == kept and len(kept) > 10
+
+
+def test_a_text_is_lowered_once_for_all_its_sections(spark):
+    texts = ["RESULTS AND OUTLOOK\nA.\nDiscussion\nB.\nConclusion\nC.\nReferences\nD.", "no sections", None]
+    found = reading._split_sections(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(text#") == 1
+    told = {(r["doc_id"], r["section"]): r["section_text"] for r in found.collect()}
+    assert [told[0, s] for s in ("Results", "Discussion", "Conclusion")] == ["A.", "B.", "C."] and {told[i, s] for i, s in told if i} == {None}
