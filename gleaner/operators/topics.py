@@ -20,8 +20,8 @@ MAX_SHARE, MIN_DOCUMENTS, TOPICS, SEED, TERMS = 0.8, 5, 10, 42, 10
 VOCABULARY = 1 << 18
 #: Words that are counted together: documents, and words and pairs by their numbers, then fit into 64 bits.
 WORDS_AT_ONCE = 1 << 20
-#: Documents of a task: a file's row group, which one task reads, can hold a hundred times as many.
-DOCUMENTS = 1 << 11
+#: Documents of a task: a file's row group, which one task reads, can hold far more; of fewer, more terms would move.
+DOCUMENTS = 1 << 13
 
 
 def content_words(text: Column) -> Column:
